@@ -60,7 +60,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again: lineage is cut, and any executor can go."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/nearfield-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
