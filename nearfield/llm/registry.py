@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fertility, neardup, shard
+from . import decontaminate, fertility, mix, neardup, shard
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.query,
     "op2_simhash": neardup.query,
     "op3_shard": shard.query,
     "op4_fertility": fertility.query,
+    "op5_mix": mix.query,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_shard": shard.SQL}
