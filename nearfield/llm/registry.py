@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fertility, mix, neardup, shard
+from . import decontaminate, fertility, hostpaths, mix, neardup, perspectives, shard
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.query,
@@ -14,6 +14,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_shard": shard.query,
     "op4_fertility": fertility.query,
     "op5_mix": mix.query,
+    "op7_perspectives": perspectives.query,
+    "op8_hostpaths": hostpaths.query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_shard": shard.SQL}
+ORACLE_SQL: dict[str, str] = {"op3_shard": shard.SQL, "op7_perspectives": perspectives.SQL}
