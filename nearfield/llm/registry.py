@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fertility, hostpaths, langid, mix, neardup, perspectives, shard
+from . import decontaminate, fertility, hostpaths, langid, mix, neardup, perspectives, quality, shard
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.query,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_perspectives": perspectives.query,
     "op8_hostpaths": hostpaths.query,
     "op9_langid": langid.query,
+    "op10_quality": quality.query,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_shard": shard.SQL, "op7_perspectives": perspectives.SQL}
