@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fertility, hostpaths, langid, mix, neardup, perspectives, quality, shard
+from . import decontaminate, fertility, hostpaths, langid, mix, neardup, perspectives, pii, quality, shard
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.query,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_shard": shard.query,
     "op4_fertility": fertility.query,
     "op5_mix": mix.query,
+    "op6_pii": pii.query,
     "op7_perspectives": perspectives.query,
     "op8_hostpaths": hostpaths.query,
     "op9_langid": langid.query,
