@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from nearfield.plans import matching
+
+_PLANS = (matching,)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _PLANS for k, v in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: v for m in _PLANS for k, v in m.ORACLE_SQL.items()}
