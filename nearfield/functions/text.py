@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,21 +17,40 @@ def tokens(x: Column) -> Column:
     return F.when(n == "", F.array().cast("array<string>")).otherwise(F.split(n, " "))
 
 
+def limit_of(keyword: str, configured: int) -> int:
+    n = len("".join(keyword.split()))
+    return min(configured, 0 if n <= 4 else 1 if n <= 8 else 2)
+
+
 def keyword_limit(keyword: Column, configured: Column | int) -> Column:
     n = F.length(F.regexp_replace(keyword, r"\s", ""))
     return F.least(configured if isinstance(configured, Column) else F.lit(configured), F.when(n <= 4, 0).when(n <= 8, 1).otherwise(2))
 
 
-def windows(toks: Column, n: Column) -> Column:
-    """Runs of n tokens, each joined by blanks."""
-    last = F.size(toks) - n + 1
-    return F.when((n > 0) & (last > 0), F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(toks, i, n), " "))).otherwise(F.array().cast("array<string>"))
+def plain(pattern: str) -> str:
+    """A pattern as :func:`normalize` would make it."""
+    return regex.sub(r"[^\p{L}\p{N}]+", " ", pattern.lower()).strip()
+
+
+def windows(toks: Column, n: int) -> Column:
+    """Runs of n tokens, each joined by blanks.
+
+    Built by zipping the array with itself, shifted: no lambda refers to the whole array, which would be computed
+    anew for each token wherever the optimiser inlines it.
+    """
+    out = toks
+    for k in range(1, n):
+        m = F.greatest(F.size(toks) - k, F.lit(0))
+        out = F.zip_with(F.slice(out, F.lit(1), m), F.slice(toks, F.lit(k + 1), m), lambda a, b: F.concat(a, F.lit(" "), b))
+    return out
 
 
-def contains_window(toks: Column, pattern: Column, limit: Column) -> Column:
-    """Whether a run of as many tokens as the pattern has is within limit edits of it."""
-    n = F.size(F.split(pattern, " "))
-    return F.exists(windows(toks, n), lambda w: F.when(limit == 0, w == pattern).otherwise((F.abs(F.length(w) - F.length(pattern)) <= limit) & (F.levenshtein(w, pattern) <= limit)))
+def contains_window(toks: Column, pattern: str, limit: Column | int) -> Column:
+    """Whether a run of as many tokens as the (normalised) pattern has is within limit edits of it."""
+    w = windows(toks, len(pattern.split()))
+    if isinstance(limit, int) and limit == 0:
+        return F.array_contains(w, pattern)
+    return F.exists(w, lambda x: F.levenshtein(x, F.lit(pattern), limit) >= 0)
 
 
 def truncate(x: Column, n: int = 160) -> Column:
