@@ -61,7 +61,10 @@ def events(html: str) -> Iterator[tuple[str, str]]:
             pos = n if end < 0 else end + 3
             continue
         kind = html[lt + 1 : lt + 2]
-        gt = html.find(">", lt + 1) if kind and (kind.isalpha() or kind in "/!?") else -1
+        tag = bool(kind) and (kind.isalpha() or kind in "/!?")
+        gt = html.find(">", lt + 1) if tag else -1
+        if tag and gt < 0:  # the page ends within a tag
+            break
         if gt < 0:
             yield "link" if links else "text", "<"
             pos = lt + 1

@@ -43,6 +43,8 @@ class Model(NamedTuple):
 
 def code_for(n: int, seed: int = 5) -> np.ndarray:
     """n codewords, as far apart as can be."""
+    if n < 2:
+        return np.ones((n, 1), np.int8)
     if n <= 6:
         cols = [c for c in itertools.product((1, -1), repeat=n) if c[0] == 1 and -1 in c]
         return np.array(cols, np.int8).reshape(-1, n).T

@@ -182,7 +182,7 @@ def examples(n: int = 420, seed: int = 17) -> list[tuple[str, list[tuple[int, in
         return f"{country}{check:02d}{body}"
 
     word = lambda: letters(2, 9) + rng.choice(["", "", "", ",", "."])
-    number = lambda: str(rng.randint(0, 255))
+    number = lambda: str(rng.randint(0, rng.choice([9, 99, 255])))
     make = {
         "EMAIL": lambda: f"{letters(2, 8)}{rng.choice(['', '.', '_', '+'])}{rng.choice([digits(2), letters(2, 6)])}@{letters(2, 6)}{rng.choice(['', digits(1)])}.{rng.choice(['example.', ''])}{rng.choice(['com', 'org', 'net', 'de', 'io'])}",
         "PHONE": lambda: rng.choice([f"+{rng.randint(1, 99)} ({digits(3)}) {digits(3)}-{digits(4)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"+{rng.randint(1, 99)} {digits(3)} {digits(3)} {digits(4)}"]),
