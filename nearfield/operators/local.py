@@ -24,7 +24,7 @@ def bucket_hits(spec: DataFrame, cand: DataFrame, t: Threshold, most: int, seg_b
 
     s_id, s_ord, id, ord, distance, quality, s_region. Anchors compare positions and both words, dense hashes neither.
     """
-    side = lambda d, p: d.select(*[F.col(c).alias(f"{p}{c}") for c in d.columns], F.explode(bits.segments(F.col("hash"), seg_bits)).alias("slot"))
+    side = lambda d, p: d.withColumn("slot", F.explode(bits.segments(F.col("hash"), seg_bits))).select(*[F.col(c).alias(f"{p}{c}") for c in d.columns], "slot")
     j = side(spec, "s_").join(side(cand, ""), "slot")
     if both_words:
         dist = bits.descriptor_distance(F.col("hash"), F.col("hash2"), F.col("s_hash"), F.col("s_hash2"))
