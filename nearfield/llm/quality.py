@@ -224,12 +224,13 @@ def pool(texts: list[str | None], v: Vectors, weight: np.ndarray) -> np.ndarray:
     out = np.zeros((n, 4 * DIM + 7), np.float32)
     if len(some):
         at, size = w.first[some], np.diff(w.first)[some]
-        out[some, :DIM] = np.add.reduceat(vec[inverse], at, axis=0) / size[:, None]
+        weigh = np.stack([np.ones(len(unique)), *np.exp(np.minimum(speaks.T, 12.0))]).astype(np.float32)
+        for i in some.tolist():  # a small matrix product for each text: far faster than summing along the long axis
+            own = inverse[w.first[i] : w.first[i + 1]]
+            a = weigh[:, own]
+            out[i, : 3 * DIM] = ((a @ vec[own]) / a.sum(1, keepdims=True)).ravel()
         for k in range(2):
-            a = np.exp(np.minimum(speaks[:, k], 12.0)).astype(np.float32)
-            top = np.maximum.reduceat(speaks[inverse, k], at)
-            out[some, (k + 1) * DIM : (k + 2) * DIM] = np.add.reduceat((vec * a[:, None])[inverse], at, axis=0) / np.add.reduceat(a[inverse], at)[:, None]
-            out[some, 4 * DIM + k] = top
+            out[some, 4 * DIM + k] = np.maximum.reduceat(speaks[inverse, k], at)
             out[some, 4 * DIM + 2 + k] = np.add.reduceat(speaks[inverse, k], at) / size
         same = np.concatenate([[False], (w.hash[1:] == w.hash[:-1]) & (doc[1:] == doc[:-1])])
         out[some, 4 * DIM + 4] = np.add.reduceat(same.astype(np.float32), at) / size
@@ -239,8 +240,9 @@ def pool(texts: list[str | None], v: Vectors, weight: np.ndarray) -> np.ndarray:
         kinds, which = np.unique(sh, return_inverse=True)
         number = np.bincount(sd, minlength=n)
         has = np.flatnonzero(number)
-        first = np.searchsorted(sd, has)
-        out[has, 3 * DIM : 4 * DIM] = np.add.reduceat(index_vectors(kinds)[which], first, axis=0) / number[has][:, None]
+        shape, ends = index_vectors(kinds), np.cumsum(number)
+        for i in has.tolist():
+            out[i, 3 * DIM : 4 * DIM] = shape[which[ends[i] - number[i] : ends[i]]].mean(0)
         out[has, 4 * DIM + 6] = number[has] / np.maximum(np.diff(w.first)[has], 1)
     return out
 
