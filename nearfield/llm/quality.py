@@ -23,8 +23,8 @@ from collections.abc import Iterator
 from typing import Any, NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +37,7 @@ MAX_LABELLED = 20_000
 BUCKETS = 1 << 16
 HIDDEN = 24
 _BLOCKS = 16
+_PIECE = 64
 _CHARS = 1_000_000
 _SEED = [np.uint64(int(x)) for x in common.mix(np.arange(101, 109, dtype=np.uint64))]
 
@@ -134,16 +135,25 @@ def learn_vectors(docs: DataFrame, min_share: float = MIN_SHARE) -> Vectors:
                 add_contexts(w, key, total)
         if n:
             own = [np.concatenate([total[k::_BLOCKS], count[k::_BLOCKS, None]], 1).astype(np.int32).tobytes() for k in range(_BLOCKS)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(_BLOCKS), pa.int32()), pa.array([n] * _BLOCKS, pa.int64()), pa.array(own, pa.binary())], names=["block", "n", "part"])
-
-    def add(df: pd.DataFrame) -> pd.DataFrame:
-        out = 0
-        for part in df["part"]:
-            out = out + np.frombuffer(part, np.int32).astype(np.int64)
-        return pd.DataFrame({"block": df["block"].iloc[:1], "n": [df["n"].sum()], "part": [out.tobytes()]})
-
+            yield pa.RecordBatch.from_arrays([pa.array(range(_BLOCKS), pa.int32()), pa.array([n] * _BLOCKS, pa.int64()), pa.array(own, pa.binary()), pa.array([TaskContext.get().partitionId() // _PIECE] * _BLOCKS, pa.int32())], names=["block", "n", "part", "piece"])
+
+    def add(kind: type):  # noqa: ANN202
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # parts are added as they come, so a task holds one sum a block, however many parts there are
+            sums: dict[int, np.ndarray] = {}
+            counts: dict[int, int] = {}
+            for batch in batches:
+                for r in batch.to_pylist():
+                    sums[r["block"]] = np.frombuffer(r["part"], kind) + sums.get(r["block"], np.int64(0))
+                    counts[r["block"]] = counts.get(r["block"], 0) + r["n"]
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(list(counts.values()), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["block", "n", "part"])
+
+        return run
+
+    # two levels: pieces of _PIECE partitions first, then the blocks
     kind = "block int, n bigint, part binary"
-    parts = d.mapInArrow(contexts, kind).groupBy("block").applyInPandas(add, kind).collect()
+    pieces = d.mapInArrow(contexts, f"{kind}, piece int").repartition("block", "piece").select("block", "n", "part").mapInArrow(add(np.int32), kind)
+    parts = pieces.repartition(_BLOCKS, "block").mapInArrow(add(np.int64), kind).collect()
     total, count, n = np.zeros((len(near), DIM), np.int64), np.zeros(len(near), np.int64), 0
     for r in parts:
         m = np.frombuffer(r["part"], np.int64).reshape(-1, DIM + 1)
