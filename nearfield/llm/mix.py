@@ -2,13 +2,15 @@
 
 Every source gets an inclusion probability: its target share of the token budget over the tokens it has, 1 where it has
 too few (what it lacks goes to the others in proportion). Target weights are given, or are token totals to the power
-``alpha``. The sample is then drawn balanced on each source's documents and tokens. Flight: three documents with
+``alpha``. ``budget`` is the most that is taken: where small sources are taken whole, it shrinks until no source has more
+than ``over`` times its target share of the sample, so what all whole sources together lack is at most ``over - 1`` of it,
+and a tiny source can't shrink the sample to its own size. The sample is then drawn balanced on each source's documents and tokens. Flight: three documents with
 fractional probabilities at a time, which move along the vector that leaves both totals unchanged until one reaches 0
 or 1. It runs in parallel over pieces of a source; the two documents or fewer that each piece leaves fly again together.
 Landing: the two or fewer of a source that are left give up first the token total, then chance decides on the last.
 So a source's documents are within 1 of what is expected, and its tokens within the size of about a document or two.
 
-Cases: null sources form one source of their own. Null, empty and blank texts have 0 tokens and are drawn as others. A
+Cases: null sources form one source of their own. Target shares are those among sources that have tokens. Null, empty and blank texts have 0 tokens and are drawn as others. A
 source without tokens is kept whole if its weight is above 0. Repeated rows are drawn each on its own; null doc_id
 passes through. An empty table gives an empty one. Extra columns are ignored by :func:`sample` and kept, whatever
 their names, by :func:`mixed`.
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 from . import common
 
 ALPHA = 0.5
-BUDGET = 0.7  # share of all tokens to keep
+BUDGET = 0.7  # share of all tokens to keep, at most
+OVER = 1.05  # times its target share of the sample that a source may have, at most
 SEED = "mix-1"
 ROWS_PER_PIECE = 20_000
 MAX_BROADCAST = 100_000
@@ -35,11 +38,25 @@ _EPS = 1e-9
 _STATE = "row bigint, source string, n_tokens bigint, pi double, p double"
 
 
-def probabilities(totals: dict[Any, int], weights: dict[Any, float] | None = None, alpha: float = ALPHA, budget: float = BUDGET) -> dict[Any, float]:
+def _most(totals: dict[Any, int], w: dict[Any, float], over: float) -> float:
+    """Tokens that can be taken before a source has more than over times its target share of them."""
+    whole, rest = 0.0, sum(w.values())
+    every = rest
+    for s in sorted(totals, key=lambda s: totals[s] / w[s]):
+        rate = totals[s] / w[s]  # at which s is whole
+        if rate * every > over * (whole + rate * rest):
+            return whole + rest * over * whole / (every - over * rest)
+        whole, rest = whole + totals[s], rest - w[s]
+    return whole
+
+
+def probabilities(totals: dict[Any, int], weights: dict[Any, float] | None = None, alpha: float = ALPHA, budget: float = BUDGET, over: float = float("inf")) -> dict[Any, float]:
     """Inclusion probability of each source by its tokens."""
     w = {s: max(0.0, weights.get(s, 0.0)) if weights is not None else max(t, 1) ** alpha for s, t in totals.items()}
     out = {s: 0.0 for s in totals} | {s: 1.0 for s, t in totals.items() if not t and w[s] > 0}
     left, open_ = budget * sum(totals.values()), [s for s, t in totals.items() if t and w[s] > 0]
+    if over < float("inf"):
+        left = min(left, _most({s: totals[s] for s in open_}, {s: w[s] for s in open_}, over))
     while open_:
         rate = left / sum(w[s] for s in open_)
         full = [s for s in open_ if rate * w[s] >= totals[s]]
@@ -117,10 +134,10 @@ def _tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("bigint")
 
 
-def _drawn(rows: DataFrame, weights: dict[Any, float] | None, alpha: float, budget: float, seed: str) -> DataFrame:
+def _drawn(rows: DataFrame, weights: dict[Any, float] | None, alpha: float, budget: float, seed: str, over: float) -> DataFrame:
     """row, source, n_tokens, pi and p (0 or 1) of every row. rows must be a written table of row, source, n_tokens."""
     got = rows.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).collect()
-    pi = probabilities({r["source"]: r["t"] for r in got}, weights, alpha, budget)
+    pi = probabilities({r["source"]: r["t"] for r in got}, weights, alpha, budget, over)
     rates = rows.sparkSession.createDataFrame(list(pi.items()), "s string, pi double")
     if len(pi) <= MAX_BROADCAST:
         rates = F.broadcast(rates)
@@ -132,20 +149,20 @@ def _drawn(rows: DataFrame, weights: dict[Any, float] | None, alpha: float, budg
     return sure.unionByName(flown.filter("p = 0 or p = 1")).unionByName(landed)
 
 
-def sample(docs: DataFrame, weights: dict[Any, float] | None = None, alpha: float = ALPHA, budget: float = BUDGET, seed: str = SEED) -> DataFrame:
+def sample(docs: DataFrame, weights: dict[Any, float] | None = None, alpha: float = ALPHA, budget: float = BUDGET, seed: str = SEED, over: float = OVER) -> DataFrame:
     """doc_id, source, n_tokens, pi and selected of every document."""
     d = common.project(docs, ["doc_id", "text", "source"], {"source": "string"})
     rows = common.materialise(d.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", _tokens(F.col("text")).alias("n_tokens")), "tokens")
-    out = _drawn(rows.drop("doc_id"), weights, alpha, budget, seed).select("row", "pi", (F.col("p") == 1).alias("selected"))
+    out = _drawn(rows.drop("doc_id"), weights, alpha, budget, seed, over).select("row", "pi", (F.col("p") == 1).alias("selected"))
     return rows.join(out, "row").select("doc_id", "source", "n_tokens", "pi", "selected")
 
 
-def mixed(docs: DataFrame, weights: dict[Any, float] | None = None, alpha: float = ALPHA, budget: float = BUDGET, seed: str = SEED) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict[Any, float] | None = None, alpha: float = ALPHA, budget: float = BUDGET, seed: str = SEED, over: float = OVER) -> DataFrame:
     """docs with all its columns, the documents that are drawn."""
     d, cols, at = common.positional(docs)
     rows = common.materialise(d.withColumn(common.ROW_ID, F.monotonically_increasing_id()).withColumn("nf_tokens", _tokens(F.col(at["text"]))), "rows")
     slim = rows.select(F.col(common.ROW_ID).alias("row"), F.col(at["source"]).cast("string").alias("source"), F.col("nf_tokens").alias("n_tokens"))
-    drawn = _drawn(slim, weights, alpha, budget, seed).filter("p = 1").select(F.col("row").alias(common.ROW_ID))
+    drawn = _drawn(slim, weights, alpha, budget, seed, over).filter("p = 1").select(F.col("row").alias(common.ROW_ID))
     return rows.join(drawn, common.ROW_ID, "left_semi").select(*d.columns).toDF(*cols)
 
 

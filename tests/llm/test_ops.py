@@ -305,6 +305,35 @@ def test_mixing(spark):
     assert mix.sample(o).count() == len(ODD) and mix.mixed(o).columns == o.columns and mix.mixed(o.limit(0)).count() == 0
 
 
+def test_mixing_reaches_targets_on_a_hot_source(spark):
+    rng = np.random.default_rng(16)
+    rows = [(i, "w " * int(rng.integers(20, 40)), "en", "hot" if i < 1800 else f"s{i % 19}") for i in range(2000)]
+    total, taken = collections.Counter(), collections.Counter()
+    for r in mix.sample(docs(spark, rows)).collect():
+        total[r["source"]] += r["n_tokens"]
+        taken[r["source"]] += r["selected"] * r["n_tokens"]
+    every, got = sum(t**0.5 for t in total.values()), sum(taken.values())
+    target, reached = {s: t**0.5 / every for s, t in total.items()}, {s: taken[s] / got for s in total}
+    assert all(reached[s] <= 1.05 * target[s] + 80 / got for s in total)
+    assert sum(max(0, target[s] - reached[s]) for s in total) <= 0.05
+    assert all(taken[s] == total[s] for s in total if reached[s] < 0.9 * target[s])
+
+
+def test_probabilities_bound_the_excess():
+    totals = {"hot": 900_000} | {k: 100_000 // 19 for k in range(19)}
+    weigh = lambda p: {s: p[s] * t for s, t in totals.items()}
+    exact = weigh(mix.probabilities(totals, over=1))
+    every = sum(t**0.5 for t in totals.values())
+    assert all(math.isclose(x / sum(exact.values()), totals[s] ** 0.5 / every) for s, x in exact.items()) and math.isclose(exact[0], totals[0])
+    loose = weigh(mix.probabilities(totals, over=1.05))
+    assert math.isclose(loose["hot"] / sum(loose.values()), 1.05 * totals["hot"] ** 0.5 / every)
+    # a source of one token costs the others nothing
+    tiny = mix.probabilities({"a": 10**6, "b": 10**6, "c": 1}, over=1.05)
+    assert tiny["c"] == 1 and math.isclose(tiny["a"], 0.7, rel_tol=1e-5)
+    even = {"a": 1000, "b": 1000}
+    assert mix.probabilities(even, over=1) == mix.probabilities(even) and mix.probabilities({}, over=1) == {} and mix.probabilities({"a": 0}, over=1) == {"a": 1.0}
+
+
 # -- 6
 
 
