@@ -1,8 +1,9 @@
 """Operator 10, quality and toxicity classifier on random-indexing word vectors.
 
 Vectors: a word's index vector has four entries of +1 or -1 at places that its hash names; so has that of its first
-five letters. Words in at least ``min_share`` of all documents also have a context vector, the sum of the index
-vectors of their neighbours, two to either side, over all documents. A word vector is the sum of its index vectors and
+five letters. Words in at least ``min_docs`` documents also have a context vector, the sum of the index vectors of their
+neighbours, two to either side, over all documents; so the vocabulary grows with the corpus. Sums of all words are added
+in a shuffle by word hash; the vectors lie in one file in the shared folder, which workers map and don't load. A word vector is the sum of its index vectors and
 its context vector at unit length. A document is pooled three times: evenly, and weighted towards words that speak for
 either label; the shapes of its words ("Aa", "A!", "0") and the share of immediate repetitions are pooled beside them.
 A network of two layers gives two logits, and a temperature for each makes them calibrated probabilities.
@@ -19,12 +20,16 @@ null doc_id passes through. An empty table gives an empty one. Extra columns are
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Iterator
 from typing import Any, NamedTuple
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,19 +37,29 @@ from . import common
 
 DIM = 64
 WINDOW = (-2, -1, 1, 2)
-MIN_SHARE = 0.002
+MIN_DOCS = 5  # a word in fewer documents has no context vector
 MAX_LABELLED = 20_000
 BUCKETS = 1 << 16
 HIDDEN = 24
-_BLOCKS = 16
-_PIECE = 64
+_BLOCKS = 16, 1024  # ranges of word hashes, least and most
+_HELD = 150_000  # words whose parts are added up at once
+_FLUSH = 400_000  # words a task holds before it passes them on
+_ROWS = 10_000
 _CHARS = 1_000_000
 _SEED = [np.uint64(int(x)) for x in common.mix(np.arange(101, 109, dtype=np.uint64))]
 
 
-class Vectors(NamedTuple):
-    key: np.ndarray  # sorted hashes of frequent words
-    context: np.ndarray  # their context vectors at unit length
+class Vectors:
+    """Sorted hashes of words and their context vectors at unit length, mapped from files; pickled by their path."""
+
+    def __init__(self, n: int, path: str, sent: bool) -> None:
+        self.n, self.path, self.sent = n, path, sent
+        at = SparkFiles.get(os.path.basename(path)) if sent else path
+        self.key = np.asarray(np.memmap(f"{at}.key", np.uint64, "r", shape=(n,))) if n else np.empty(0, np.uint64)
+        self.context = np.asarray(np.memmap(f"{at}.context", np.float32, "r", shape=(n, DIM))) if n else np.empty((0, DIM), np.float32)
+
+    def __reduce__(self) -> tuple:
+        return Vectors, (self.n, self.path, self.sent)
 
 
 class Model(NamedTuple):
@@ -79,88 +94,141 @@ def _find(key: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(key[at] == h, at, -1)
 
 
-def add_contexts(w: common.Words, key: np.ndarray, total: np.ndarray) -> None:
-    """Add to total (words x DIM) what a batch of texts has around the words of key."""
-    row, doc, n = _find(key, w.hash), common.of_doc(w.first), len(w.hash)
-    entries = list(_at(w.hash))
+def contexts(w: common.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of a batch's words, in how many of its texts each is, and the sum of what is around it."""
+    h, row = np.unique(w.hash, return_inverse=True)
+    total, count = np.zeros(len(h) * DIM, np.int32), np.zeros(len(h), np.int64)
+    doc, n = common.of_doc(w.first), len(w.hash)
+    order = np.argsort(row, kind="stable")
+    r, d = row[order], doc[order]
+    count += np.bincount(r[np.concatenate([[True], (r[1:] != r[:-1]) | (d[1:] != d[:-1])])[:n]], minlength=len(h))
+    entries = list(_at(h))
     for o in WINDOW:
         lo, hi = max(0, -o), n - max(0, o)
         if hi <= lo:
             continue
-        ok = np.flatnonzero((row[lo:hi] >= 0) & (doc[lo:hi] == doc[lo + o : hi + o])) + lo
-        for place, sign in entries:
-            total += np.bincount(row[ok] * DIM + place[ok + o], sign[ok + o], len(key) * DIM).astype(np.int64).reshape(len(key), DIM)
-
-
-def document_counts(w: common.Words) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of a batch's words and in how many of its texts each is."""
-    doc = common.of_doc(w.first).astype(np.uint64)
-    order = np.lexsort((doc, w.hash))
-    h, d = w.hash[order], doc[order]
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])]) if len(h) else np.empty(0, bool)
-    return np.unique(h[new], return_counts=True)
-
-
-def learn_vectors(docs: DataFrame, min_share: float = MIN_SHARE) -> Vectors:
-    """Context vectors of all words that are in at least min_share of the documents, from all documents."""
+        ok = np.flatnonzero(doc[lo:hi] == doc[lo + o : hi + o]) + lo
+        near, own = row[ok + o], row[ok] * DIM
+        total += np.bincount(np.concatenate([own + place[near] for place, _ in entries]), np.concatenate([sign[near] for _, sign in entries]), len(total)).astype(np.int32)
+    return h, count, total.reshape(-1, DIM)
+
+
+class _Sums:
+    """Adds up parts of hashes, counts and vectors; parts wait until they are as many as what is there."""
+
+    def __init__(self, kind: type) -> None:
+        self.kind, self.parts, self.rows, self.most = kind, [], 0, _HELD
+
+    def add(self, h: np.ndarray, count: np.ndarray, vec: np.ndarray) -> None:
+        self.parts.append((h, count, vec))
+        self.rows += len(h)
+        if self.rows >= self.most:
+            self.rows = len(self.get()[0])
+            self.most = max(_HELD, 2 * self.rows)
+
+    def get(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty((0, DIM), self.kind)
+        h, count, vec = (np.concatenate([p[k] for p in self.parts]) for k in range(3))
+        order = np.argsort(h, kind="stable")
+        h = h[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])[: len(h)])
+        out = h[first], np.zeros(0, np.int64), np.zeros((0, DIM), self.kind)
+        if len(h):
+            out = h[first], np.add.reduceat(count[order], first), np.add.reduceat(vec[order], first, axis=0, dtype=self.kind)
+        self.parts = [out]
+        return out
+
+
+def _block(h: np.ndarray, blocks: int) -> np.ndarray:
+    return ((h >> np.uint64(40)) * np.uint64(blocks) >> np.uint64(24)).astype(np.int64)
+
+
+def _pack(h: np.ndarray, count: np.ndarray, vec: np.ndarray) -> tuple[int, bytes]:
+    """Size and compressed bytes; vectors of small numbers, which are nearly all, take a byte for each."""
+    small = (np.abs(vec) < 128).all(1)
+    order = np.argsort(~small, kind="stable")
+    n = int(small.sum())
+    raw = b"".join([np.array([n, len(h) - n]).tobytes(), h[order].tobytes(), count[order].astype(np.int64).tobytes(), vec[small].astype(np.int8).tobytes(), vec[~small].astype(np.int32).tobytes()])
+    return len(raw), pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
+
+
+def _unpack(size: int, packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = pa.Codec("zstd").decompress(packed, size, asbytes=True)
+    a, b = np.frombuffer(raw, np.int64, 2).tolist()
+    n, at = a + b, 16 + 16 * (a + b)
+    small, large = np.frombuffer(raw, np.int8, a * DIM, at), np.frombuffer(raw, np.int32, b * DIM, at + a * DIM)
+    return np.frombuffer(raw, np.uint64, n, 16), np.frombuffer(raw, np.int64, n, 16 + 8 * n), np.concatenate([small.astype(np.int32), large]).reshape(-1, DIM)
+
+
+def _new_file(spark: SparkSession) -> tuple[str, bool]:
+    """A path for the vectors, and whether the file has to be sent to the executors: only if the shared folder can't be mapped."""
+    at = urlparse(common.shared_folder(spark))
+    kind = at.scheme or urlparse(spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS")).scheme
+    folder = f"{at.path}/nearfield-{spark.sparkContext.applicationId}" if kind == "file" else tempfile.mkdtemp(prefix="nearfield-")
+    os.makedirs(folder, exist_ok=True)
+    return f"{folder}/vectors-{uuid.uuid4().hex}", kind != "file"
+
+
+def learn_vectors(docs: DataFrame, min_docs: float = MIN_DOCS) -> Vectors:
+    """Context vectors of all words that are in at least min_docs documents, from all documents."""
     d = common.project(docs, ["text"])
     spark = docs.sparkSession
+    blocks = min(max(_BLOCKS[0], int(spark.conf.get("spark.sql.shuffle.partitions"))), _BLOCKS[1])
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a word that reaches a share of all documents reaches it in some partition
-        h, c, n = np.empty(0, np.uint64), np.empty(0, np.int64), 0
-        for b in batches:
-            texts = b.column(0).to_pylist()
-            n += len(texts)
-            for lo, hi in common.slices(texts):
-                h1, c1 = document_counts(common.words(texts[lo:hi]))
-                h, inverse = np.unique(np.concatenate([h, h1]), return_inverse=True)
-                c = np.bincount(inverse, np.concatenate([c, c1]), len(h)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(h[c >= min_share * n].view(np.int64))], names=["h"])
-
-    near = np.sort(np.array([r[0] for r in d.mapInArrow(local, "h bigint").distinct().collect()], np.int64).view(np.uint64))
-    shared = spark.sparkContext.broadcast(near)
+        def packed() -> pa.RecordBatch:
+            h, count, vec = sums.get()
+            at = np.searchsorted(_block(h, blocks), np.arange(blocks + 1)).tolist()
+            own = [(k, *_pack(h[lo:hi], count[lo:hi], vec[lo:hi])) for k, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)) if lo < hi]
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in own], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["block", "size", "part"])
 
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = shared.value
-        total, count, n = np.zeros((len(key), DIM), np.int64), np.zeros(len(key), np.int64), 0
+        sums = _Sums(np.int32)
         for b in batches:
             texts = b.column(0).to_pylist()
-            n += len(texts)
             for lo, hi in common.slices(texts):
-                w = common.words(texts[lo:hi])
-                h1, c1 = document_counts(w)
-                row = _find(key, h1)
-                count[row[row >= 0]] += c1[row >= 0]
-                add_contexts(w, key, total)
-        if n:
-            own = [np.concatenate([total[k::_BLOCKS], count[k::_BLOCKS, None]], 1).astype(np.int32).tobytes() for k in range(_BLOCKS)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(_BLOCKS), pa.int32()), pa.array([n] * _BLOCKS, pa.int64()), pa.array(own, pa.binary()), pa.array([TaskContext.get().partitionId() // _PIECE] * _BLOCKS, pa.int32())], names=["block", "n", "part", "piece"])
-
-    def add(kind: type):  # noqa: ANN202
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            # parts are added as they come, so a task holds one sum a block, however many parts there are
-            sums: dict[int, np.ndarray] = {}
-            counts: dict[int, int] = {}
-            for batch in batches:
-                for r in batch.to_pylist():
-                    sums[r["block"]] = np.frombuffer(r["part"], kind) + sums.get(r["block"], np.int64(0))
-                    counts[r["block"]] = counts.get(r["block"], 0) + r["n"]
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(list(counts.values()), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["block", "n", "part"])
-
-        return run
-
-    # two levels: pieces of _PIECE partitions first, then the blocks
-    kind = "block int, n bigint, part binary"
-    pieces = d.mapInArrow(contexts, f"{kind}, piece int").repartition("block", "piece").select("block", "n", "part").mapInArrow(add(np.int32), kind)
-    parts = pieces.repartition(_BLOCKS, "block").mapInArrow(add(np.int64), kind).collect()
-    total, count, n = np.zeros((len(near), DIM), np.int64), np.zeros(len(near), np.int64), 0
-    for r in parts:
-        m = np.frombuffer(r["part"], np.int64).reshape(-1, DIM + 1)
-        total[r["block"] :: _BLOCKS], count[r["block"] :: _BLOCKS], n = m[:, :DIM], m[:, DIM], r["n"]
-    keep = count >= min_share * n
-    vec = total[keep].astype(np.float32)
-    return Vectors(near[keep], vec / np.maximum(np.linalg.norm(vec, axis=1, keepdims=True), 1))
+                sums.add(*contexts(common.words(texts[lo:hi])))
+                if sums.rows >= _FLUSH and len(sums.get()[0]) >= _FLUSH:
+                    yield packed()
+                    sums = _Sums(np.int32)
+        yield packed()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # parts are added as they come, so a task holds one sum, however many parts there are
+        sums = _Sums(np.int64)
+        for batch in batches:
+            for r in batch.to_pylist():
+                sums.add(*_unpack(r["size"], r["part"]))
+        h, count, vec = sums.get()
+        keep = count >= min_docs
+        h, vec = h[keep], vec[keep]
+        # a piece lies within one block, so pieces don't overlap
+        cuts = np.searchsorted(_block(h, blocks), np.arange(blocks + 1)).tolist()
+        for lo, hi in ((i, min(i + _ROWS, e)) for s, e in zip(cuts[:-1], cuts[1:], strict=True) for i in range(s, e, _ROWS)):
+            v = vec[lo:hi].astype(np.float32)
+            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([int(h[lo] >> np.uint64(1))]), pa.array([hi - lo]), pa.array([h[lo:hi].tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], names=["first", "n", "h", "v"])
+
+    parts = d.mapInArrow(local, "block int, size bigint, part binary").repartition(blocks, "block")
+    pieces = common.materialise(parts.mapInArrow(add, "first bigint, n bigint, h binary, v binary"), "contexts")
+    path, sent = _new_file(spark)
+    groups: list[list[int]] = []
+    n = held = 0
+    for r in pieces.select("first", "n").orderBy("first").collect():
+        if not groups or held + r["n"] > _HELD:
+            groups.append([r["first"], r["first"]])
+            held = 0
+        groups[-1][1], held, n = r["first"], held + r["n"], n + r["n"]
+    with open(f"{path}.key", "wb") as key, open(f"{path}.context", "wb") as context:
+        for lo, hi in groups:  # the driver holds one group at a time
+            for r in sorted(pieces.filter(F.col("first").between(lo, hi)).collect(), key=lambda r: r["first"]):
+                key.write(r["h"])
+                context.write(r["v"])
+    common.drop_table(pieces)
+    if sent:
+        spark.sparkContext.addFile(f"{path}.key")
+        spark.sparkContext.addFile(f"{path}.context")
+    return Vectors(n, path, sent)
 
 
 def _shapes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -291,8 +359,8 @@ def score(texts: list[str | None], m: Model) -> np.ndarray:
     return np.where(np.isnan(m.constant), p, m.constant)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, min_share: float = MIN_SHARE) -> Model:
-    vectors = learn_vectors(docs, min_share)
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, min_docs: float = MIN_DOCS) -> Model:
+    vectors = learn_vectors(docs, min_docs)
     spark = docs.sparkSession
     lab = common.project(labels, ["doc_id", "quality", "toxic"], {"doc_id": "bigint", "quality": "int", "toxic": "int"}).dropna()
     lab = lab.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(max_labelled)

@@ -453,6 +453,31 @@ def test_context_vectors_equal_brute_force(spark):
         assert np.allclose(got, want / np.linalg.norm(want), atol=1e-5)
 
 
+def test_rare_words_have_context_vectors(spark):
+    texts = ["common filler words %s" % ("zebra runs" if i < 5 else "lonely" if i == 5 else "") for i in range(3000)]
+    v = quality.learn_vectors(docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]))
+    have = set(v.key.tolist())
+    assert all(int(common.words([w]).hash[0]) in have for w in ("common", "zebra", "runs")) and int(common.words(["lonely"]).hash[0]) not in have
+    assert (np.diff(v.key) > 0).all()
+
+
+def test_context_vectors_are_added_over_parts(spark, monkeypatch):
+    rng = np.random.default_rng(18)
+    texts = [" ".join("w%d" % k for k in rng.zipf(1.3, 40) % 900) for _ in range(400)] + ["top " * 900]
+    d = docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    h, count, vec = quality.contexts(common.words(texts))
+    for r, t in ((0, 1), (len(h) // 2, 2)):
+        assert count[r] == sum(h[r] in common.words([x]).hash for x in texts)
+    for name in ("_HELD", "_FLUSH", "_ROWS"):
+        monkeypatch.setattr(quality, name, 50)
+    v = quality.learn_vectors(d.repartition(5), 3)
+    keep = count >= 3
+    assert (v.key == h[keep]).all() and np.allclose(v.context, vec[keep] / np.maximum(np.linalg.norm(vec[keep].astype(float), axis=1, keepdims=True), 1), atol=1e-5)
+    same = quality._unpack(*quality._pack(h, count, vec))
+    order = np.argsort(same[0])
+    assert (same[0][order] == h).all() and (same[1][order] == count).all() and (same[2][order] == vec).all() and vec.max() > 127
+
+
 def test_quality_classifier(spark):
     rng = np.random.default_rng(8)
     vocabulary = ["w%d" % i for i in range(300)]
