@@ -76,7 +76,7 @@ def orb_features(spark, sf):
 
 
 def cluster_promotion(spark, sf):
-    edges = plans.coherence_edges(spark, sf)
+    edges = plans.edges_of(plans.fps(spark, sf))
     d = plans.pairs(spark, sf).select("id", "s_id", (F.lit(100) - F.col("pd") - F.col("dd")).alias("score"))
     return graph.promotion(d, edges, 42, 50, 2)
 

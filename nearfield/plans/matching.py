@@ -181,8 +181,12 @@ def index_occupancy(spark, sf):
     return local.occupancy(fps(spark, sf), "ph")
 
 
+def edges_of(fp):
+    return graph.coherence_edges(fp, replace(C, phash_max=64, dhash_max=64, total_max=80), 42)
+
+
 def coherence_edges(spark, sf):
-    return graph.coherence_edges(fps(spark, sf).filter("id < 300"), replace(C, phash_max=64, dhash_max=64, total_max=80), 42)
+    return edges_of(fps(spark, sf).filter("id < 300"))
 
 
 def coherence_clusters(spark, sf):

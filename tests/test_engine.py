@@ -135,6 +135,14 @@ def test_clusters(spark):
     assert graph.clusters(e.limit(0), 63, 2).count() == 0
 
 
+def test_promotion_takes_specimens_of_all_ids(spark, sf, tmp_path):
+    d = spark.read.parquet(f"{sf}/embeddings.parquet")
+    ids = F.explode(F.array(*[F.lit(k).cast(d.schema["vec_id"].dataType) for k in (1001, 1002, 1005)]))
+    d.filter("vec_id = 1").withColumn("vec_id", ids).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalogue.QUERIES["cluster_promotion"](spark, str(tmp_path)).collect()
+    assert [(r["id"], r["members"], r["largest"], r["promoted"]) for r in got] == [(1005, 2, 2, True)]
+
+
 def test_geometry_recovers_models():
     rng = np.random.default_rng(3)
     p = rng.uniform(0, 600, (40, 2))
