@@ -10,7 +10,7 @@ character of the last; a text of which they make up more than ``max_doc_share``
 Only stretches in which each pair of neighbours occurs in some item are walked through the automaton; a match of two
 words or more lies within one, so the lengths are exact.
 
-Cases: a null, empty or wordless text is kept as it is with length 0. Null, empty or wordless items are left out; with
+Cases: items of fewer than ``short_tokens`` words aren't searched for. A null, empty or wordless text is kept as it is with length 0. Null, empty or wordless items are left out; with
 no items every text is kept. Repeated items count once; repeated rows are judged alike; null doc_id passes through.
 Extra columns are ignored by :func:`decontaminate` and kept, whatever their names, by :func:`strip_benchmark`.
 """
