@@ -326,7 +326,7 @@ def pool(texts: list[str | None], v: Vectors, weight: np.ndarray) -> np.ndarray:
 
 
 def fit_network(x: np.ndarray, y: np.ndarray, rounds: int = 250, seed: int = 9) -> list[np.ndarray]:
-    """Two layers, by Adam on the whole batch; both labels balanced in part."""
+    """Two layers, by Adam on the whole batch; labels are not weighted."""
     rng = np.random.default_rng(seed)
     net = [rng.normal(0, x.shape[1] ** -0.5, (x.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, (HIDDEN, 2)), np.zeros(2)]
     m, v = [np.zeros_like(p) for p in net], [np.zeros_like(p) for p in net]
