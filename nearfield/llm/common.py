@@ -7,6 +7,7 @@ batch gives every word's hash and its place in its text, without a Python object
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import unicodedata
 import uuid
@@ -47,10 +48,13 @@ def positional(df: DataFrame) -> tuple[DataFrame, list[str], dict[str, str]]:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a local one is set only where that is unset."""
+    """The folder all executors share, from spark.checkpoint.dir. Only a local session may go without: it gets one of its
+    own; elsewhere executors would write to disks that others can't read, so that is an error."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if sc.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="nearfield-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -76,33 +80,35 @@ def drop_table(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def clear(spark: SparkSession) -> None:
+    """Remove all tables that this application wrote and that nothing dropped; results that weren't stored need them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/nearfield-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 # -- text splitting ------------------------------------------------------------------------------------------------
 
-_LIMIT = 0x20000  # code points above are rare ideographs: each counts as a word
+_TOP = 0x110000
 _MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
-def _inverse(a: int) -> int:
-    x = a
-    for _ in range(6):
-        x = x * (2 - a * x) & 0xFFFFFFFFFFFFFFFF
-    return x
+def assigned() -> Iterable[int]:
+    """Code points that may stand for characters (surrogates, private planes and planes without any left out)."""
+    return itertools.chain(range(0xD800), range(0xE000, 0x33480), range(0xE0000, 0xE0200))
 
 
 @lru_cache(1)
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """Fold: code point -> folded code point (0 where it isn't part of a word); alone: ideographs, each a word."""
-    fold = np.zeros(_LIMIT + 1, np.uint32)
-    alone = np.zeros(_LIMIT + 1, bool)
-    for c in range(_LIMIT):
-        if 0xD800 <= c < 0xE000:
-            continue
+    fold, alone = np.zeros(_TOP, np.uint32), np.zeros(_TOP, bool)
+    for c in assigned():
         ch = chr(c)
-        if ch.isalnum() or unicodedata.category(ch)[0] == "M":
+        if 0x3400 <= c < 0xA000 or 0x20000 <= c < 0x2F800 or 0x30000 <= c < 0x33480:
+            fold[c], alone[c] = c if ch.isalnum() else 0, ch.isalnum()
+        elif ch.isalnum() or unicodedata.category(ch)[0] == "M":
             low = unicodedata.normalize("NFKC", ch).lower()
             fold[c] = ord(low) if len(low) == 1 else ord(ch.lower()[0])
-            alone[c] = 0x3040 <= c < 0xA000 and not 0x3100 <= c < 0x3400 or 0xF900 <= c < 0xFB00
-    fold[_LIMIT], alone[_LIMIT] = _LIMIT, True
+            alone[c] = 0x3040 <= c < 0x3100 or 0xF900 <= c < 0xFB00 or 0x2F800 <= c < 0x2FA20
     return fold, alone
 
 
@@ -173,10 +179,9 @@ def words(texts: Sequence[str | None]) -> Words:
     """Words (runs of letters, digits and marks, folded to lower case; each ideograph alone) of every text."""
     cps, begin = code_points(texts)
     fold, alone = _tables()
-    capped = np.minimum(cps, np.uint32(_LIMIT))
-    folded = fold[capped]
+    folded = fold[cps]
     inside = folded != 0
-    single = alone[capped]
+    single = alone[cps]
     before = np.empty_like(inside)
     before[:1] = False
     before[1:] = inside[:-1]
@@ -191,16 +196,15 @@ def words(texts: Sequence[str | None]) -> Words:
 
 @lru_cache(1)
 def _blank() -> np.ndarray:
-    out = np.zeros(_LIMIT + 1, bool)
-    for c in range(_LIMIT):
-        out[c] = not 0xD800 <= c < 0xE000 and chr(c).isspace()
+    out = np.zeros(_TOP, bool)
+    out[[c for c in assigned() if chr(c).isspace()]] = True
     return out
 
 
 def chunks(texts: Sequence[str | None]) -> Words:
     """What str.split() gives, unfolded, for every text."""
     cps, begin = code_points(texts)
-    inside = ~_blank()[np.minimum(cps, np.uint32(_LIMIT))]
+    inside = ~_blank()[cps]
     before = np.empty_like(inside)
     before[:1] = False
     before[1:] = inside[:-1]

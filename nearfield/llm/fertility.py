@@ -38,7 +38,7 @@ ABSOLUTE = {"chars_per_token": (1.0, 12.0), "byte_share": (0.0, 0.3), "entropy":
 Z = 2.0
 MAX_BROADCAST = 10_000
 _TYPE = "n_tokens int, chars_per_token double, byte_share double, entropy double, script string"
-_SCRIPTS = [(0x41, 0x250, "latin"), (0x1E00, 0x1F00, "latin"), (0x370, 0x400, "greek"), (0x1F00, 0x2000, "greek"), (0x400, 0x530, "cyrillic"), (0x530, 0x590, "armenian"), (0x590, 0x600, "hebrew"), (0x600, 0x780, "arabic"), (0x8A0, 0x900, "arabic"), (0x900, 0x980, "devanagari"), (0x980, 0xE00, "indic"), (0xE00, 0xE80, "thai"), (0x10A0, 0x1100, "georgian"), (0x1100, 0x1200, "hangul"), (0xAC00, 0xD7B0, "hangul"), (0x3040, 0x3100, "kana"), (0x3400, 0xA000, "han"), (0xF900, 0xFB00, "han"), (0x1FFFF, 0x20001, "han")]
+_SCRIPTS = [(0x41, 0x250, "latin"), (0x1E00, 0x1F00, "latin"), (0x370, 0x400, "greek"), (0x1F00, 0x2000, "greek"), (0x400, 0x530, "cyrillic"), (0x530, 0x590, "armenian"), (0x590, 0x600, "hebrew"), (0x600, 0x780, "arabic"), (0x8A0, 0x900, "arabic"), (0x900, 0x980, "devanagari"), (0x980, 0xE00, "indic"), (0xE00, 0xE80, "thai"), (0x10A0, 0x1100, "georgian"), (0x1100, 0x1200, "hangul"), (0xAC00, 0xD7B0, "hangul"), (0x3040, 0x3100, "kana"), (0x3400, 0xA000, "han"), (0xF900, 0xFB00, "han"), (0x20000, 0x33480, "han")]
 _CACHE_WORDS = 400_000
 
 
@@ -120,7 +120,7 @@ def figures(texts: list[str | None], folder: str = TOKENIZERS) -> dict[str, np.n
     of = (key[begin] >> np.uint64(32)).astype(np.int64)
     table, names = _script_table()
     cps, start = common.code_points(texts)
-    script = table[np.minimum(cps, np.uint32(common._LIMIT))]
+    script = table[cps]
     kinds = np.bincount(np.repeat(np.arange(n), np.diff(start)) * len(names) + script, minlength=n * len(names)).reshape(n, len(names)) if n else np.zeros((0, len(names)))
     kinds[:, 0] = 0
     with np.errstate(divide="ignore", invalid="ignore"):

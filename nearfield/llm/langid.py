@@ -71,7 +71,7 @@ def grams(texts: list[str | None], buckets: int = BUCKETS) -> tuple[np.ndarray,
     inner = np.repeat(begin[doc[at]] + w.start[at] - first - 1, size) + np.arange(len(flat))
     mark = np.zeros(len(flat), bool)
     mark[first], mark[first + size - 1] = True, True
-    flat[~mark] = fold[np.minimum(cps[inner[~mark]], np.uint32(common._LIMIT))]
+    flat[~mark] = fold[cps[inner[~mark]]]
     word = np.repeat(np.arange(len(unique)), size)
     ids, owner = [], []
     for n in (1, 2, 3):

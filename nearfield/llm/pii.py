@@ -268,7 +268,7 @@ def _lse(v: list[float]) -> float:
 
 @lru_cache(1)
 def _digit_or_at() -> np.ndarray:
-    out = np.zeros(common._LIMIT + 1, bool)
+    out = np.zeros(common._TOP, bool)
     out[0x30:0x3A] = True
     out[0x40] = True
     return out
@@ -282,7 +282,7 @@ def find(texts: list[str | None], weights: np.ndarray) -> list[list[tuple[int, i
         return out
     cps, begin = common.code_points(texts)
     doc = common.of_doc(w.first)
-    some = np.concatenate([[0], np.cumsum(_digit_or_at()[np.minimum(cps, np.uint32(common._LIMIT))])])
+    some = np.concatenate([[0], np.cumsum(_digit_or_at()[cps])])
     a = begin[doc]
     hot = np.flatnonzero(some[a + w.end] > some[a + w.start])
     k = 0

@@ -235,7 +235,7 @@ def _shapes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hash of the shape of each word between blanks, and its text: runs of capitals, letters, digits and signs."""
     table = _shape_table()
     cps, begin = common.code_points(texts)
-    cls = table[np.minimum(cps, np.uint32(common._LIMIT))]
+    cls = table[cps]
     cls = np.where(cls == 4, cps + np.uint32(16), cls)
     keep = np.concatenate([[True], cls[1:] != cls[:-1]]) if len(cls) else np.empty(0, bool)
     where = np.flatnonzero(keep)
@@ -249,10 +249,10 @@ def _shapes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def _shape_table() -> np.ndarray:
     if not _TABLE:
-        t = np.full(common._LIMIT + 1, 4, np.uint32)  # 0 blank, 1 capital, 2 other letter, 3 digit, 4 itself
-        for c in range(common._LIMIT):
+        t = np.full(common._TOP, 4, np.uint32)  # 0 blank, 1 capital, 2 other letter, 3 digit, 4 itself
+        for c in common.assigned():
             ch = chr(c)
-            if 0xD800 <= c < 0xE000 or ch.isspace():
+            if ch.isspace():
                 t[c] = 0
             elif ch.isupper():
                 t[c] = 1
@@ -279,7 +279,7 @@ def _words_and_stems(texts: list[str | None]) -> tuple[common.Words, np.ndarray,
     stem = np.empty(len(unique), np.uint64)
     if len(unique):
         ends = start + np.minimum((w.end - w.start)[at], 5)
-        stem[order] = common._spans(fold[np.minimum(cps, np.uint32(common._LIMIT))], begin, start[order], ends[order]).hash
+        stem[order] = common._spans(fold[cps], begin, start[order], ends[order]).hash
     return w, unique, inverse, common.mix(stem + np.uint64(77))
 
 
