@@ -1,0 +1,151 @@
+"""Searches against brute force, layouts that must not matter, and rarer cases."""
+
+import collections
+import itertools
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from nearfield.llm import common, decontaminate, neardup
+
+from .test_ops import DOCS, brute_groups, docs, make_copies
+
+
+def rare(n, at):
+    return "".join(chr(at + i) for i in range(n))
+
+
+# -- text splitting
+
+
+def test_code_points_beyond_the_basic_plane_are_words_of_their_own():
+    a, b = rare(40, 0x20000), rare(40, 0x20100)
+    w = common.words([a, b, "\U00020001 x\U00020001", "\U0002f800", "丽", "𝐀b", "ab", "\U000f0000\U0001f600"])
+    own = [w.hash[s:e].tolist() for s, e in zip(w.first[:-1], w.first[1:])]
+    assert len(set(own[0])) == 40 and not set(own[0]) & set(own[1])
+    assert own[2][0] == own[2][2] == own[0][1] and own[3] == own[4] and own[5] == own[6] and own[7] == []
+
+
+def test_texts_of_rare_ideographs_are_neither_copies_nor_contaminated(spark):
+    a, b = rare(40, 0x20000), rare(40, 0x20100)
+    d = docs(spark, [(1, a, "zh", "a"), (2, b, "zh", "a"), (3, a + "!", "zh", "a")])
+    assert sorted(r["doc_id"] for r in neardup.deduplicate(d).collect()) == [1, 2]
+    bench = spark.createDataFrame([(1, a)], "item_id bigint, text string")
+    got = {r["doc_id"]: r for r in decontaminate.decontaminate(d, bench).collect()}
+    assert (got[1]["action"], got[2]["action"], got[2]["longest_match"]) == ("drop", "keep", 0)
+
+
+# -- the shared folder
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master, getConf, getCheckpointDir = "spark://host:7077", Conf, staticmethod(lambda: None)
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError):
+        common.shared_folder(Session())
+
+
+# -- 2
+
+
+def params(**more):
+    return neardup._params(more)
+
+
+def brute_components(sim, pairs, radius, verify):
+    n = len(sim)
+    near = (np.bitwise_count(sim[:, None] ^ sim[None]).sum(2, dtype=int) <= radius) & (np.bitwise_count(pairs[:, None] ^ pairs[None]).sum(2, dtype=int) <= verify)
+    label = np.arange(n)
+    while True:
+        new = np.array([label[near[i]].min() for i in range(n)])
+        if (new == label).all():
+            return label
+        label = new
+
+
+def noisy(rng, centre, n, flips):
+    out = np.tile(centre, (n, 1))
+    for _ in range(flips):
+        k = rng.integers(0, 64 * len(centre), n)
+        out[np.arange(n), k // 64] ^= np.uint64(1) << (k % 64).astype(np.uint64)
+    return out
+
+
+@pytest.mark.parametrize("flips", [(2, 4), (6, 25), (9, 45), (3, 110)])
+def test_dense_places_are_joined_as_by_brute_force(flips):
+    rng = np.random.default_rng(sum(flips))
+    word = lambda k: rng.integers(0, 1 << 63, k, dtype=np.int64).view(np.uint64)
+    centre = word(2)
+    # three groups in one place of the search space that the verification tells apart, and points elsewhere
+    sim = np.concatenate([*(noisy(rng, centre, 150, flips[0]) for _ in range(3)), *(word(2)[None] for _ in range(50))])
+    pairs = np.concatenate([*(noisy(rng, word(4), 150, flips[1]) for _ in range(3)), *(word(4)[None] for _ in range(50))])
+    order = rng.permutation(500)
+    sim, pairs = sim[order], pairs[order]
+    a, b, audit = neardup.shard_edges(np.arange(500), sim, pairs, np.zeros(500, np.uint64), params())
+    got = np.arange(500)
+    got[a] = b
+    assert (got == brute_components(sim, pairs, neardup.RADIUS, neardup.VERIFY)).all() and audit["exact"] > 0
+
+
+def test_audit_counts_only_what_beams_found():
+    rng = np.random.default_rng(31)
+    n = 4000
+    sim = rng.integers(0, 1 << 63, (n, 2), dtype=np.int64).view(np.uint64)
+    sim[:400] = noisy(rng, sim[0], 400, 4)  # one large group, answered exactly
+    for k in range(400, 1400, 2):
+        sim[k + 1] = noisy(rng, sim[k], 1, 5)
+    pairs = np.zeros((n, 4), np.uint64)
+    _, _, audit = neardup.shard_edges(np.arange(n), sim, pairs, common.mix(np.arange(n, dtype=np.uint64)), params(audit=n))
+    assert audit["exact"] >= 400 and audit["asked"] <= 1100  # pairs of the group don't count as found
+    assert audit["found_first"] < 0.9 * 1000 or audit["beam"] == neardup.BEAM
+    assert audit["found"] >= 0.9 * audit["asked"]
+
+
+def test_a_shard_whose_beams_find_too_little_is_reported(spark, monkeypatch):
+    rng = np.random.default_rng(32)
+    d = docs(spark, [(i, t, "en", "a") for i, t in enumerate(make_copies(rng, 150, 2, 0.04))])
+    whole = neardup.audits(d).collect()
+    assert sum(r["points"] for r in whole) >= 400 and all(r["recall"] is None or r["recall"] >= 0.9 for r in whole) and any(r["asked"] for r in whole)
+    # links that lead nowhere: the first beams find little, which is told, and wider ones or exact scans make up for it
+    monkeypatch.setattr(neardup.Graph, "search", lambda self, q, width: np.full((len(q), width), neardup._NONE, np.uint64))
+    _, _, audit = neardup.shard_edges(np.arange(400), noisy(rng, np.zeros(2, np.uint64), 400, 12), np.zeros((400, 4), np.uint64), np.zeros(400, np.uint64), params())
+    assert audit["found_first"] == 0 and audit["exact"] == 400 and audit["beam"] == 0
+
+
+def test_recall_against_all_shards(spark):
+    rng = np.random.default_rng(33)
+    d = docs(spark, [(i, t, "en", "a") for i, t in enumerate(make_copies(rng, 200, 2, 0.05))])
+    asked, found = neardup.recall(d, 600, rows_per_shard=300)
+    assert asked > 300 and found >= 0.95 * asked
+    assert neardup.recall(d.limit(0)) == (0, 0)
+
+
+def test_hot_routes_are_split_without_loss(spark):
+    rng = np.random.default_rng(34)
+    header = " ".join("licence%d" % k for k in range(12))
+    texts = [header + " " + t for t in make_copies(rng, 120, 2, 0.03)] + make_copies(rng, 1, 300, 0.02)
+    d = docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    brute, _ = brute_groups(texts)
+    want = collections.Counter(brute)
+    for most in (10_000, 60):
+        got = {r["doc_id"]: r["group_id"] for r in neardup.groups(d, rows_per_shard=most, pivots=20).collect()}
+        pairs = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if brute[i] == brute[j]]
+        assert sum(i in got and j in got and got[i] == got[j] for i, j in pairs) >= 0.95 * len(pairs)
+        assert all(brute[i] == brute[g] for i, g in got.items()) and len(want) < len(texts)
+    nodes = neardup._nodes(neardup._sketched(d))
+    routed, shards = neardup._routed(nodes, params(rows_per_shard=60, pivots=20))
+    assert routed.groupBy("route").count().agg(F.max("count")).first()[0] <= 2 * 60 and shards > 10
+
+
+def test_texts_of_signs_alone_are_copies_where_they_are_equal(spark):
+    d = docs(spark, [(1, "!!! ???", "en", "a"), (2, "!!!  ???", "en", "a"), (3, "!!!???", "en", "a"), (4, "😀", "en", "a"), (5, "😀", "en", "a"), (6, " ", "en", "a"), (7, "", "en", "a"), (8, None, "en", "a")])
+    assert sorted(r["doc_id"] for r in neardup.deduplicate(d).collect()) == [1, 3, 4, 6, 7, 8]
