@@ -5,8 +5,9 @@ over hashed letter n-grams of 1 to 3 within words. A text's margins are compared
 each bit weighted by how well it did on held-out rows; the least loss wins, and a text whose second-best is nearly as
 good is flagged as ambiguous. Codes are exhaustive up to six languages and the best of seeded random codes beyond.
 
-Training uses at most ``max_per_lang`` labelled rows of each language (those with the least hash of doc_id) and is the
-only thing that is bounded; every text is classified as a whole.
+Training uses at most ``max_per_lang`` labelled rows of each language (those with the least hash of doc_id and text) and
+is the only thing that is bounded; every text is classified as a whole. Executors count the n-grams of these rows; the
+driver holds the counts that aren't 0 and spreads out ``BATCH`` rows of them at a time.
 
 Cases: null, empty and letterless texts have no prediction and are flagged. Null and empty languages don't train. With
 one language in the labels it is always predicted; with none nothing is. Repeated rows are classified alike; null
@@ -31,6 +32,8 @@ MAX_PER_LANG = 250
 BUCKETS = 1 << 13
 AMBIGUOUS = 0.15  # share of the weights by which the best has to lead
 HELD_OUT = 0.2
+BATCH = 2_048
+MAX_BROADCAST = 100_000
 
 
 class Model(NamedTuple):
@@ -87,41 +90,76 @@ def grams(texts: list[str | None], buckets: int = BUCKETS) -> tuple[np.ndarray,
     return ids[by], np.searchsorted(owner[by], np.arange(len(unique) + 1)), inverse, doc
 
 
-def counts(texts: list[str | None], buckets: int = BUCKETS) -> np.ndarray:
-    """Share of each bucket among a text's n-grams (texts x buckets)."""
-    out = np.zeros((len(texts), buckets), np.float32)
-    for i, t in enumerate(texts):
+class Counts(NamedTuple):
+    """Rows of shares of buckets: those of row i are bucket[first[i]:first[i+1]] and share likewise."""
+
+    bucket: np.ndarray
+    share: np.ndarray
+    first: np.ndarray
+    buckets: int
+
+    def spread(self, lo: int, hi: int) -> np.ndarray:
+        out = np.zeros((hi - lo, self.buckets), np.float32)
+        at = slice(int(self.first[lo]), int(self.first[hi]))
+        out[np.repeat(np.arange(hi - lo), np.diff(self.first[lo : hi + 1])), self.bucket[at]] = self.share[at]
+        return out
+
+
+def counts(texts: list[str | None], buckets: int = BUCKETS) -> Counts:
+    """Share of each bucket among a text's n-grams."""
+    cols, shares = [], []
+    for t in texts:
         ids, begin, inverse, _ = grams([t], buckets)
         times = np.bincount(inverse, minlength=len(begin) - 1)
         c = np.bincount(ids, np.repeat(times, np.diff(begin)), buckets)
-        out[i] = c / max(c.sum(), 1)
-    return out
+        cols.append(np.flatnonzero(c))
+        shares.append((c[cols[-1]] / max(c.sum(), 1)).astype(np.float32))
+    return gather(cols, shares, buckets)
+
 
+def gather(cols: list[np.ndarray], shares: list[np.ndarray], buckets: int = BUCKETS) -> Counts:
+    first = np.concatenate([[0], np.cumsum([len(c) for c in cols])]).astype(np.int64)
+    return Counts(np.concatenate([*cols, np.empty(0, np.int64)]).astype(np.int32), np.concatenate([*shares, np.empty(0, np.float32)]), first, buckets)
 
-def fit(texts: list[str], langs: list[str], buckets: int = BUCKETS, rounds: int = 80, seed: int = 3) -> Model | None:
-    names = sorted(set(langs))
+
+def fit(x: Counts, langs: list[str], rounds: int = 80, seed: int = 3) -> Model | None:
+    names, buckets, n = sorted(set(langs)), x.buckets, len(langs)
     if not names:
         return None
     code = code_for(len(names))
     if len(names) == 1:
         return Model(names, code, np.zeros((buckets, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32), np.ones(code.shape[1], np.float32))
-    x, y = counts(texts, buckets), code[[names.index(a) for a in langs]].astype(np.float32)
-    held = np.random.default_rng(seed).random(len(texts)) < HELD_OUT
+    number = {a: k for k, a in enumerate(names)}
+    y = code[[number[a] for a in langs]].astype(np.float32)
+    held = np.random.default_rng(seed).random(n) < HELD_OUT
     if held.all() or not held.any():
-        held = np.arange(len(texts)) % 5 == 4
-    scale = (1 / np.sqrt(x.mean(0) + 1e-6)).astype(np.float32)
-    xs, ys = x[~held] * scale, y[~held]
-    share = np.maximum((ys > 0).mean(0), 0.02), np.maximum((ys < 0).mean(0), 0.02)
-    balance = np.where(ys > 0, 0.5 / share[0], 0.5 / share[1]).astype(np.float32)
+        held = np.arange(n) % 5 == 4
+    use = (~held).astype(np.float32)
+    scale = (1 / np.sqrt(np.bincount(x.bucket, x.share, buckets) / n + 1e-6)).astype(np.float32)
+    x = x._replace(share=x.share * scale[x.bucket])
+    only = x.spread(0, n) if n <= BATCH else None
+    batch = lambda lo, hi: x.spread(lo, hi) if only is None else only
+    parts = [(lo, min(lo + BATCH, n)) for lo in range(0, n, BATCH)]
+    trained = max(float(use.sum()), 1.0)
+    share = (((y > 0) * use[:, None]).sum(0) / trained).clip(0.02), (((y < 0) * use[:, None]).sum(0) / trained).clip(0.02)
+    balance = (np.where(y > 0, 0.5 / share[0], 0.5 / share[1]) * use[:, None] / trained).astype(np.float32)
     w, b = np.zeros((buckets, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
-    step, vw, vb = 4.0 / max(float((xs * xs).sum(1).mean()), 1e-6), np.zeros_like(w), np.zeros_like(b)
+    squares = float((np.add.reduceat(np.append(x.share * x.share, 0), x.first[:-1]) * (np.diff(x.first) > 0) * use).sum()) / trained
+    step, vw, vb = 4.0 / max(squares, 1e-6), np.zeros_like(w), np.zeros_like(b)
     for _ in range(rounds):
-        g = -ys * balance / (1 + np.exp(np.clip(ys * (xs @ w + b), -30, 30))) / len(xs)
-        vw = 0.9 * vw - 0.1 * step * (xs.T @ g + 1e-5 * w)
-        vb = 0.9 * vb - 0.1 * step * g.sum(0)
+        gw, gb = 1e-5 * w, np.zeros_like(b)
+        for lo, hi in parts:
+            xs, ys = batch(lo, hi), y[lo:hi]
+            g = -ys * balance[lo:hi] / (1 + np.exp(np.clip(ys * (xs @ w + b), -30, 30)))
+            gw += xs.T @ g
+            gb += g.sum(0)
+        vw, vb = 0.9 * vw - 0.1 * step * gw, 0.9 * vb - 0.1 * step * gb
         w, b = w + vw, b + vb
+    wrong, asked = np.zeros(code.shape[1]), int(held.sum())
+    for lo, hi in parts:
+        wrong += ((np.sign(batch(lo, hi) @ w + b) != y[lo:hi]) & held[lo:hi, None]).sum(0)
+    wrong /= max(asked, 1)
     w *= scale[:, None]
-    wrong = (np.sign(x[held] @ w + b) != y[held]).mean(0) if held.any() else np.zeros(code.shape[1])
     wrong = np.clip(wrong, 0.01, 0.49)
     return Model(names, code, w.astype(np.float32), b, np.log((1 - wrong) / wrong).astype(np.float32))
 
@@ -151,13 +189,21 @@ def predict(texts: list[str | None], m: Model | None) -> list[tuple[str | None,
 def train(docs: DataFrame, max_per_lang: int = MAX_PER_LANG) -> Model | None:
     """A model of the languages in docs, from at most max_per_lang rows of each."""
     d = common.project(docs, ["doc_id", "text", "lang"]).filter("lang is not null and lang <> '' and text is not null and text <> ''")
-    n = d.groupBy("lang").count()
-    h = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    n = common.materialise(d.groupBy("lang").count(), "languages")
+    if n.count() <= MAX_BROADCAST:
+        n = F.broadcast(n)
+    h = F.xxhash64("doc_id", "text")  # the text counts, so that rows without an id aren't taken or left together
     # a sample by hash first, so that only a few rows of each language are ranked
-    near = d.withColumn("h", F.pmod(h, F.lit(1 << 30))).join(F.broadcast(n), "lang").filter(F.col("h") < F.least(F.lit(1.0), 2.0 * max_per_lang / F.col("count") + 20.0 / F.col("count")) * (1 << 30))
-    least = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("r") <= max_per_lang)
-    rows = sorted(least.select("lang", "h", "text").collect())
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows])
+    near = d.withColumn("h", F.pmod(h, F.lit(1 << 30))).join(n, "lang").filter(F.col("h") < F.least(F.lit(1.0), 2.0 * max_per_lang / F.col("count") + 20.0 / F.col("count")) * (1 << 30))
+    least = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))).filter(F.col("r") <= max_per_lang)
+
+    def to_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [counts([t]) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.bucket.tobytes() for c in rows], pa.binary()), pa.array([c.share.tobytes() for c in rows], pa.binary())], names=["lang", "h", "bucket", "share"])
+
+    rows = sorted(least.select("lang", "h", "text").mapInArrow(to_counts, "lang string, h bigint, bucket binary, share binary").collect())
+    return fit(gather([np.frombuffer(r["bucket"], np.int32) for r in rows], [np.frombuffer(r["share"], np.float32) for r in rows]), [r["lang"] for r in rows])
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
