@@ -41,7 +41,8 @@ MIN_DOCS = 5  # a word in fewer documents has no context vector
 MAX_LABELLED = 20_000
 BUCKETS = 1 << 16
 HIDDEN = 24
-_BLOCKS = 16, 1024  # ranges of word hashes, least and most
+_BLOCKS = 16, 4096  # ranges of word hashes, least and most; one more for each _BLOCK_BYTES of documents
+_BLOCK_BYTES = 16 << 20
 _HELD = 150_000  # words whose parts are added up at once
 _FLUSH = 400_000  # words a task holds before it passes them on
 _ROWS = 10_000
@@ -174,7 +175,9 @@ def learn_vectors(docs: DataFrame, min_docs: float = MIN_DOCS) -> Vectors:
     """Context vectors of all words that are in at least min_docs documents, from all documents."""
     d = common.project(docs, ["text"])
     spark = docs.sparkSession
-    blocks = min(max(_BLOCKS[0], int(spark.conf.get("spark.sql.shuffle.partitions"))), _BLOCKS[1])
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    grow = size // _BLOCK_BYTES if size < 1 << 55 else int(spark.conf.get("spark.sql.shuffle.partitions"))  # where the size isn't known
+    blocks = min(max(_BLOCKS[0], grow), _BLOCKS[1])
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed() -> pa.RecordBatch:
