@@ -167,6 +167,7 @@ def bands(measured: DataFrame, lang: str, min_docs: int = MIN_DOCS) -> DataFrame
 
 def _verdict(measured: DataFrame, lang: str, found: DataFrame, z: float) -> DataFrame:
     """measured and column reason (null: keep)."""
+    found = common.materialise(found, "bands")  # a row for each language and script, used three times
     small = found.count() <= MAX_BROADCAST
     for kind, key in (("lang", lang), ("script", "script")):
         of = found.filter(F.col("kind") == kind).select(F.col("name").alias(f"nf_{kind}"), F.struct(*ABSOLUTE).alias(f"nf_band_{kind}"))

@@ -4,7 +4,8 @@ Each page's containers are scored by the text they hold outside links (and half
 navigation, footers and the like score nothing). A container's path is its tags and classes from the root down, classes
 generalised: lower case, digits to one #, sorted. Pages vote for paths with their scores' shares, in millionths so that
 sums are exact; Spark adds them up per host, and the winner (most votes, then most pages, then by name) is looked up by
-every page of the host and its text extracted. A page that lacks the winning path falls back to its own best container.
+every page of the host and its text extracted. A page that lacks the winning path, or has nothing but links there
+(a sidebar, say) though it has text elsewhere, falls back to its own best container.
 
 Cases: a null or empty page, or one without text in a container, gives empty text. A page without a host (null or
 unusable url) doesn't vote and takes its own best container. Unclosed tags, comments and scripts are closed by what
@@ -144,8 +145,14 @@ def best(votes: dict[str, int]) -> str | None:
 
 def extract(html: str | None, path: str | None) -> str | None:
     """Text of the containers with this path, navigation and the like left out; None where there is none."""
+    return _extract(html, path)[0]
+
+
+def _extract(html: str | None, path: str | None) -> tuple[str | None, int]:
+    """Text as by :func:`extract`, and how many characters of it are outside links, less those within."""
     if path is None or not html:
-        return None
+        return None, 0
+    weight = 0
     lines, line, inside, boiler, found = [], [], 0, 0, False
     stack: list[tuple[bool, bool]] = []
     for kind, x in events(html):
@@ -164,10 +171,11 @@ def extract(html: str | None, path: str | None) -> str | None:
             continue
         if kind in ("text", "link"):
             line.append(x)
+            weight += len(x.strip()) * (1 if kind == "text" else -1)
         elif line:
             lines.append("".join(line))
             line = []
-    return "\n".join(t for x in lines if (t := _SPACE.sub(" ", x).strip())) if found else None
+    return ("\n".join(t for x in lines if (t := _SPACE.sub(" ", x).strip())) if found else None), weight
 
 
 def host_of(url: Column) -> Column:
@@ -191,11 +199,12 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
         for html, path in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            text = extract(html, path)
-            fallback = text is None
+            text, weight = _extract(html, path)
+            own = scores(html) if text is None or weight <= 0 else {}
+            fallback = text is None or bool(own)
             if fallback:
-                path = best(scores(html))
-                text = extract(html, path)
+                path = best(own)
+                text, _ = _extract(html, path)
             rows.append((path, fallback, text or ""))
         cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.string())], names=["page_id", "host", "path", "fallback", "text"])

@@ -7,8 +7,8 @@ behind them, "start-end" from 0, end excluded, joined with commas.
 
 Cases: turns are ordered by turn (null first), then role, then text. A null role is the speaker "unknown"; a null text
 is an empty one, whose end mark is still learnt from. Marks that occur in a text are broken up by a blank, and names
-keep letters, digits, "_" and "-" only. A conversation of system turns alone has no speaker and gives no row. Rows with
-a null conv_id form one conversation. Repeated rows are repeated turns. An empty table gives an empty one. Extra
+keep letters, digits, "_" and "-" only. A conversation of system turns alone has no speaker and gives no row. A row
+with a null conv_id is a conversation of its own. Repeated rows are repeated turns. An empty table gives an empty one. Extra
 columns are ignored.
 """
 
@@ -27,7 +27,8 @@ def rotate(conversations: DataFrame) -> DataFrame:
     d = common.project(conversations, ["conv_id", "turn", "role", "text"])
     name = F.regexp_replace(F.coalesce("role", F.lit("unknown")), r"[^\p{L}\p{N}_-]", "_")
     safe = F.regexp_replace(F.coalesce("text", F.lit("")), r"<\|", "< |")
-    turns = d.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("r"), safe.alias("text"), F.when(name == "", "unknown").otherwise(name).alias("name")))).alias("turns"))
+    d = d.withColumn("own", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()))
+    turns = d.groupBy("conv_id", "own").agg(F.sort_array(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("r"), safe.alias("text"), F.when(name == "", "unknown").otherwise(name).alias("name")))).alias("turns"))
     speakers = F.array_sort(F.array_distinct(F.transform(F.filter("turns", lambda t: t["name"] != "system"), lambda t: t["name"])))
     each = turns.select("conv_id", "turns", F.explode(speakers).alias("perspective"))
 
@@ -58,19 +59,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = f"""
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, '') AS r, replace(coalesce(text, ''), '<|', '< |') AS text,
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS own, turn, coalesce(role, '') AS r, replace(coalesce(text, ''), '<|', '< |') AS text,
          CASE WHEN role = '' THEN 'unknown' ELSE regexp_replace(coalesce(role, 'unknown'), '[^\\p{{L}}\\p{{N}}_-]', '_', 'g') END AS name
   FROM conversations),
-p AS (SELECT DISTINCT conv_id, name AS perspective FROM t WHERE name <> 'system'),
+p AS (SELECT DISTINCT conv_id, own, name AS perspective FROM t WHERE name <> 'system'),
 j AS (
   SELECT t.*, p.perspective,
          '{OPEN}' || CASE WHEN name = 'system' THEN 'system' WHEN name = perspective THEN 'assistant' ELSE 'user name=' || name END || chr(10) AS head
-  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.own IS NOT DISTINCT FROM p.own),
 k AS (
-  SELECT *, sum(length(head) + length(text) + {len(CLOSE) + 1}) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, r, text, name
+  SELECT *, sum(length(head) + length(text) + {len(CLOSE) + 1}) OVER (PARTITION BY conv_id, own, perspective ORDER BY turn NULLS FIRST, r, text, name
             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM j)
 SELECT conv_id, perspective, count(*) AS n_turns, count(*) FILTER (WHERE name = perspective) AS n_learnt,
        string_agg(head || text || '{CLOSE}' || chr(10), '' ORDER BY turn NULLS FIRST, r, text, name) AS rendered,
        coalesce(string_agg((upto - length(text) - {len(CLOSE) + 1})::BIGINT || '-' || (upto - 1)::BIGINT, ',' ORDER BY upto) FILTER (WHERE name = perspective), '') AS mask
-FROM k GROUP BY conv_id, perspective
+FROM k GROUP BY conv_id, own, perspective
 """
