@@ -45,12 +45,20 @@ def windows(toks: Column, n: int) -> Column:
     return out
 
 
-def contains_window(toks: Column, pattern: str, limit: Column | int) -> Column:
-    """Whether a run of as many tokens as the (normalised) pattern has is within limit edits of it."""
-    w = windows(toks, len(pattern.split()))
-    if isinstance(limit, int) and limit == 0:
-        return F.array_contains(w, pattern)
-    return F.exists(w, lambda x: F.levenshtein(x, F.lit(pattern), limit) >= 0)
+def contains_phrase(normal: Column, pattern: str, limit: int) -> Column:
+    """Whether a run of as many tokens of a normalised text as the (normalised) pattern has is within limit edits of it.
+
+    What is within limit edits holds one of limit + 1 pieces of the pattern unchanged, so windows are built, and
+    distances taken, only for texts that hold a piece. Without edits no windows are needed.
+    """
+    if limit == 0:
+        return F.concat(F.lit(" "), normal, F.lit(" ")).contains(f" {pattern} ")
+    n, near = len(pattern), F.lit(False)
+    cuts = [n * k // (limit + 1) for k in range(limit + 2)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        near = near | normal.contains(pattern[a:b])
+    w = windows(F.split(normal, " "), len(pattern.split()))
+    return F.when(near, F.exists(w, lambda x: (F.abs(F.length(x) - n) <= limit) & (F.levenshtein(x, F.lit(pattern), limit) >= 0))).otherwise(False)
 
 
 def truncate(x: Column, n: int = 160) -> Column:
@@ -64,4 +72,10 @@ def file_stem(x: Column) -> Column:
 
 
 def percent_label(part: Column, whole: Column) -> Column:
-    return F.when(whole == 0, "0.0%").otherwise(F.format_string("%.1f%%", part * 100.0 / whole))
+    """Percentage with one decimal, cut, not rounded: 2 of 3 are 66.6%."""
+    tenths = F.floor(part.cast("bigint") * 1000 / whole)
+    return F.when(whole == 0, "0.0%").otherwise(F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("%")))
+
+
+def ms_label(ms: Column) -> Column:
+    return F.concat(ms.cast("bigint").cast("string"), F.lit("ms"))

@@ -20,16 +20,16 @@ def evaluate(d: DataFrame, id_: str, text: str, gate: TextGate) -> DataFrame:
     if not gate.enabled:
         return out.select(id_, F.lit(False).alias("sentence_hit"), F.lit(0).alias("keyword_hits"), F.lit("disabled").alias("decision"), F.lit("disabled").alias("verdict"), F.lit(1.0).cast("float").alias("confidence"))
     kw, sn = patterns(gate.keywords), patterns(gate.sentences)
-    toks = F.col("toks")
+    normal = F.col("normal")
     unread = F.coalesce(F.trim("t"), F.lit("")) == ""
     sentence = F.lit(False)
     for p in sn:
-        sentence = sentence | tx.contains_window(toks, p, gate.sentence_max_distance)
+        sentence = sentence | tx.contains_phrase(normal, p, gate.sentence_max_distance)
     hits = F.lit(0)
     for p in kw:
-        hits = hits + tx.contains_window(toks, p, tx.limit_of(p, gate.keyword_max_distance)).cast("int")
+        hits = hits + tx.contains_phrase(normal, p, tx.limit_of(p, gate.keyword_max_distance)).cast("int")
     none = F.lit(not kw and not sn)
-    out = out.withColumn("toks", tx.tokens(F.coalesce("t", F.lit("")))).withColumns({"sentence_hit": sentence, "keyword_hits": hits})
+    out = out.withColumn("normal", tx.normalize(F.coalesce("t", F.lit("")))).withColumns({"sentence_hit": sentence, "keyword_hits": hits})
     decision = (
         F.when(none, "unavailable").when(unread, "no_text").when(F.col("sentence_hit"), "confirmed_sentence")
         .when((F.col("keyword_hits") >= gate.keyword_threshold) & F.lit(gate.keyword_threshold > 0), "confirmed_keywords").when(F.col("keyword_hits") > 0, "partial_keywords").otherwise("rejected")

@@ -53,11 +53,11 @@ def candidate_ranking(hits: DataFrame, k: int) -> DataFrame:
 
 
 def top_distinct(hits: DataFrame, k: int = 3) -> DataFrame:
-    """For each reference feature its k best distinct candidate features, and the runner-up's distance."""
+    """For each reference feature its k best distinct candidate features, and for each the least distance among the others."""
     w = Window.partitionBy("id", "s_id", "s_ord").orderBy("quality", "distance", "ord")
-    d = hits.withColumn("rank", F.row_number().over(w))
-    other = F.min(F.when(F.col("rank") > 1, F.col("distance"))).over(Window.partitionBy("id", "s_id", "s_ord"))
-    return d.withColumn("second", other).filter(F.col("rank") <= k)
+    before, behind = (F.min("distance").over(w.rowsBetween(*r)) for r in ((Window.unboundedPreceding, -1), (1, Window.unboundedFollowing)))
+    d = hits.withColumns({"rank": F.row_number().over(w), "second": F.least(before, behind)})
+    return d.filter(F.col("rank") <= k)
 
 
 def mutual_best(hits: DataFrame) -> DataFrame:

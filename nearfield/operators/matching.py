@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,28 +33,55 @@ def all_pairs(spec: DataFrame, cand: DataFrame) -> DataFrame:
     return cand.crossJoin(s).withColumns({"pd": bits.hamming(F.col("ph"), F.col("s_ph")), "dd": bits.hamming(F.col("dh"), F.col("s_dh"))})
 
 
-def segment_pairs(spec: DataFrame, cand: DataFrame, hash_: str, most: int, seg_bits: int = 4) -> DataFrame:
-    """Pairs within most bits by hash_, found by equal segments: complete while most is below the number of segments.
+def _masks(bits_: int, most: int) -> list[int]:
+    return [sum(1 << i for i in c) for k in range(most + 1) for c in itertools.combinations(range(bits_), k)]
+
+
+def plan_segments(n_spec: int, n_cand: int, most: int) -> tuple[int, int]:
+    """(bits of a segment, bits that may differ in it) with the least work: probes of the candidates and pairs to compare.
 
-    Only ids and hashes are exploded and shuffled.
+    Of 64 / b segments one differs in most // (64 / b) bits at most, where hashes differ in most bits.
     """
-    side = lambda d, p: d.select(F.col("id").alias(f"{p}id"), F.col(hash_).alias(f"{p}h"), F.explode(bits.segments(F.col(hash_), seg_bits)).alias("slot"))
-    hit = side(spec, "s_").join(side(cand, "c_"), "slot")
-    d = bits.hamming(F.col("c_h"), F.col("s_h"))
-    return hit.filter(d <= most).select(F.col("c_id").alias("id"), F.col("s_id"), d.alias("distance")).distinct()
+    work = {}
+    for width in (4, 8, 16):
+        flips = most // (64 // width)
+        probes = 64 // width * len(_masks(width, flips)) if flips < 4 else 1 << 40
+        work[width, flips] = n_cand * probes + n_spec * n_cand * probes / 2.0**width + n_spec * 64 // width
+    return min(work, key=work.get)
 
 
-def near_pairs(fp: DataFrame, most_ph: int = 4, most_dh: int = 4) -> DataFrame:
-    """Unordered pairs within both distances (no cap on comparisons)."""
+def segment_pairs(spec: DataFrame, cand: DataFrame, hash_: str, most: int, seg_bits: int | None = None) -> DataFrame:
+    """Pairs within most bits by hash_, found by segments that differ in few bits: complete for any ``most`` up to 63.
+
+    Specimens are looked up by their segments, candidates by theirs with up to so many bits flipped; only ids and hashes
+    are exploded and shuffled. A pair is kept at the first of its segments that fits, so nothing has to be made distinct.
+    """
+    width, flips = (seg_bits, most // (64 // seg_bits)) if seg_bits else plan_segments(spec.count(), cand.count(), most)
+    slots = bits.segments(F.col(hash_), width)
+    near = F.flatten(F.transform(slots, lambda s: F.transform(F.array(*[F.lit(m) for m in _masks(width, flips)]), lambda m: s.bitwiseXOR(m))))
+    side = lambda d, p, at: d.select(F.col("id").alias(f"{p}id"), F.col(hash_).alias(f"{p}h"), F.explode(at).alias("slot"))
+    hit = side(spec, "s_", slots).join(side(cand, "c_", near if flips else slots), "slot")
+    x, own = F.col("c_h").bitwiseXOR(F.col("s_h")), F.shiftright("slot", width)
+    first = F.lit(True)
+    for k in range(64 // width):
+        fits = F.bit_count(F.call_function("shiftrightunsigned", x, F.lit(64 - width * (k + 1))).bitwiseAND(F.lit((1 << width) - 1))) <= flips
+        first = first & ~((own > k) & fits)
+    d = F.bit_count(x)
+    return hit.filter((d <= most) & first).select(F.col("c_id").alias("id"), F.col("s_id"), d.alias("distance"))
+
+
+def near_pairs(fp: DataFrame, most_ph: int = 4, most_dh: int = 4, content: str | None = None) -> DataFrame:
+    """Unordered pairs within both distances whose content differs (no cap on comparisons)."""
     hash_, most = ("ph", most_ph) if most_ph <= most_dh else ("dh", most_dh)
+    fp = fp.select("id", "ph", "dh", (F.col(content) if content else F.lit(None)).alias("content"))
     if most < 16:
         pairs = segment_pairs(fp, fp, hash_, most).filter("s_id < id").select("id", "s_id")
-        right = fp.select("id", "ph", "dh")
-        left = fp.select(F.col("id").alias("s_id"), F.col("ph").alias("s_ph"), F.col("dh").alias("s_dh"))
-        d = pairs.join(right, "id").join(left, "s_id").withColumns({"pd": bits.hamming(F.col("ph"), F.col("s_ph")), "dd": bits.hamming(F.col("dh"), F.col("s_dh"))})
+        left = fp.select(F.col("id").alias("s_id"), F.col("ph").alias("s_ph"), F.col("dh").alias("s_dh"), F.col("content").alias("s_content"))
+        d = pairs.join(fp, "id").join(left, "s_id").withColumns({"pd": bits.hamming(F.col("ph"), F.col("s_ph")), "dd": bits.hamming(F.col("dh"), F.col("s_dh"))})
     else:
-        d = all_pairs(fp.select("id", "ph", "dh"), fp.select("id", "ph", "dh")).filter("s_id < id")
-    return d.filter((F.col("pd") <= most_ph) & (F.col("dd") <= most_dh)).select(F.col("s_id").alias("id_a"), F.col("id").alias("id_b"), "pd", "dd")
+        d = all_pairs(fp, fp).filter("s_id < id")
+    other = ~F.coalesce(F.col("content") == F.col("s_content"), F.lit(False))
+    return d.filter((F.col("pd") <= most_ph) & (F.col("dd") <= most_dh) & other).select(F.col("s_id").alias("id_a"), F.col("id").alias("id_b"), "pd", "dd")
 
 
 def perceptual_evidence(pairs: DataFrame, t: Threshold, slack: int = 0) -> DataFrame:

@@ -61,12 +61,11 @@ def corners(img: np.ndarray, threshold: int = 16, arc: int = 9, most: int = 64,
     ring = np.stack([g[3 + dy : h - 3 + dy, 3 + dx : w - 3 + dx] for dx, dy in _RING])
     score = np.zeros(c.shape, int)
     for sign in (1, -1):
-        d = sign * (ring - c) - threshold
-        on = d > 0
+        on = sign * (ring - c) >= threshold
         run = np.zeros(c.shape, bool)
         for s in range(16):
             run |= np.logical_and.reduce([on[(s + k) % 16] for k in range(arc)])
-        score = np.maximum(score, np.where(run, np.where(on, d, 0).sum(0), 0))
+        score = np.maximum(score, np.where(run, abs(ring - c).sum(0), 0))
     ys, xs = np.nonzero(score)
     order = np.lexsort((xs, ys, -score[ys, xs]))
     out: list[tuple[int, int, int]] = []

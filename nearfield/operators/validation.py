@@ -17,7 +17,8 @@ def folds(d: DataFrame, id_: str, n: int, seed: int) -> DataFrame:
 
 def splitmix_shuffle(n: int, seed: int) -> list[int]:
     """Fisher-Yates shuffle of 0 .. n-1 by splitmix64, on the driver; for small sets that have to be reproduced."""
-    mask, state, out = (1 << 64) - 1, seed & ((1 << 64) - 1), list(range(n))
+    mask = (1 << 64) - 1
+    state, out = (seed ^ 0xA0761D6478BD642F) & mask, list(range(n))
     for i in range(n - 1, 0, -1):
         state = (state + 0x9E3779B97F4A7C15) & mask
         z = state

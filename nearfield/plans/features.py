@@ -102,7 +102,7 @@ _LIKE = f"{_D('luma')} <= {T.luma_delta} AND {_D('contrast')} <= {T.contrast_del
 _HITS = f"""WITH {_G}, {_LOCAL}, hits AS (SELECT s.id AS s_id, s.ord AS s_ord, c.id, c.ord, (({_H1} + {_H2} + 1) // 2)::INT AS distance,
   ((({_H1} + {_H2} + 1) // 2) * 4 + {_FEAT} + greatest({_D('x')}, {_D('y')}))::INT AS quality, s.region AS s_region FROM lf s, lf c
   WHERE s.id % 5 <> 0 AND c.id % 5 = 0 AND ({_SHARE4}) AND ({_H1} + {_H2} + 1) // 2 <= {MOST} AND {_LIKE} AND {_D('x')} <= {T.position_delta} AND {_D('y')} <= {T.position_delta})"""
-_RANKED = "r AS (SELECT *, row_number() OVER (PARTITION BY id, s_id, s_ord ORDER BY quality, distance, ord) AS rank FROM hits), t AS (SELECT *, min(CASE WHEN rank > 1 THEN distance END) OVER (PARTITION BY id, s_id, s_ord) AS second FROM r)"
+_RANKED = "r AS (SELECT *, row_number() OVER (PARTITION BY id, s_id, s_ord ORDER BY quality, distance, ord) AS rank FROM hits), t AS (SELECT r.*, (SELECT min(o.distance) FROM hits o WHERE o.id = r.id AND o.s_id = r.s_id AND o.s_ord = r.s_ord AND o.ord <> r.ord) AS second FROM r)"
 
 ORACLE_SQL = {
     "anchor_bucket_join": f"{_HITS} SELECT * FROM hits",
@@ -113,3 +113,6 @@ ORACLE_SQL = {
     "unverified_support": f"{_HITS}, {_RANKED}, k AS (SELECT *, second IS NULL OR second - distance >= 2 AS kept FROM t WHERE rank = 1) SELECT id, s_id, count(*) AS raw_hits, count(*) FILTER (WHERE kept) AS hits, count(DISTINCT s_region) FILTER (WHERE kept) AS regions, round(avg(distance) FILTER (WHERE kept), 6) AS mean_distance, (count(*) FILTER (WHERE kept) * 1000 // count(*))::INT AS permille FROM k GROUP BY id, s_id",
     "ring_region_select": f"WITH {_G}, {_LOCAL}, f AS (SELECT id, ord, region, edge AS score FROM lf), a AS (SELECT *, 0 AS round FROM f QUALIFY row_number() OVER (PARTITION BY id, region ORDER BY score DESC, ord) = 1), u AS (SELECT * FROM a UNION ALL SELECT *, 1 FROM f) SELECT id, ord, region, round, row_number() OVER (PARTITION BY id ORDER BY round, score DESC, ord) AS place FROM u QUALIFY place <= 10",
 }
+ORACLE_SQL["cluster_promotion"] = f"""WITH RECURSIVE {plans.FP}, {plans.PAIRS}, m AS (SELECT id, s_id FROM pairs WHERE 100 - pd - dd >= 42), e0 AS (SELECT a, b FROM ({plans.ORACLE_SQL['coherence_edges']}) WHERE weight >= 50), e AS (SELECT a, b FROM e0 UNION ALL SELECT b, a FROM e0),
+  r AS (SELECT id, s_id AS node, s_id AS root FROM m UNION SELECT r.id, x.s_id, r.root FROM r JOIN e ON r.node = e.a JOIN m x ON x.id = r.id AND x.s_id = e.b),
+  c AS (SELECT id, root, count(*) AS n FROM r GROUP BY ALL), k AS (SELECT id, count(*)::INT AS members FROM m GROUP BY id) SELECT k.id, members, max(n)::INT AS largest, max(n) >= 2 AS promoted FROM k JOIN c USING (id) GROUP BY k.id, members"""

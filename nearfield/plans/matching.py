@@ -93,13 +93,24 @@ def hamming_all_pairs(spark, sf):
     return pairs(spark, sf).filter("pd <= 20 or dd <= 18").select("id", "s_id", "pd", "dd")
 
 
+#: Bits in which the four variants of a fingerprint differ from it: none, 5, 10 and 16 of them.
+NOISE = (0, 0x0001_0010_0100_1001, 0x0421_1042_1084_2000, 0x1111_1111_1111_1111)
+
+
+def variants(spark, sf):
+    """Four variants of every fingerprint, with known numbers of flipped bits: id * 4 + k."""
+    d = fps(spark, sf).select("id", "label", "ph", "dh", F.posexplode(F.array(*[F.lit(m).cast("bigint") for m in NOISE])).alias("k", "m"))
+    return d.select((F.col("id") * 4 + F.col("k")).alias("id"), F.col("ph").bitwiseXOR(F.col("m")).alias("ph"), F.col("dh").bitwiseXOR(F.col("m")).alias("dh"), "label")
+
+
 def hamming_segment_join(spark, sf):
-    spec, cand = fingerprints.split(fps(spark, sf))
-    return matching.segment_pairs(spec, cand, "ph", 15).select("id", "s_id", "distance")
+    return matching.segment_pairs(fps(spark, sf), variants(spark, sf), "ph", 15).select("id", "s_id", "distance")
 
 
 def near_dup_pairs(spark, sf):
-    return matching.near_pairs(fps(spark, sf), 15, 40)
+    """Among the variants; those of one content (an original and its first variant share it) are no pairs."""
+    d = variants(spark, sf).withColumn("content", F.md5(F.floor(F.col("id") / 2).cast("string")))
+    return matching.near_pairs(d, 15, 15, "content")
 
 
 def perceptual_match(spark, sf):
@@ -127,7 +138,7 @@ def geometry_compatible(spark, sf):
 
 def visual_similarity_score(spark, sf):
     spec, cand = fingerprints.split(fps(spark, sf).select("id", "grid", "luma", "rgb", "blocks"))
-    s = F.broadcast(spec.filter("id < 100").select(*[F.col(c).alias(f"s_{c}") for c in spec.columns]))
+    s = spec.select(*[F.col(c).alias(f"s_{c}") for c in spec.columns])
     deltas = {"luma_delta": F.abs(F.col("luma") - F.col("s_luma")), "rgb_delta": bits.mean_abs_delta(F.col("rgb"), F.col("s_rgb")), "grid_delta": bits.mean_abs_delta(F.col("blocks"), F.col("s_blocks")), "text_delta": bits.text_grid_delta(F.col("grid"), F.col("s_grid"))}
     d = cand.crossJoin(s).select("id", "s_id", *[v.alias(k) for k, v in deltas.items()])
     v = scores.visual_signature(*(F.col(k) for k in deltas), (80, 70, 70, 90)).cast("double")
@@ -186,7 +197,7 @@ def edges_of(fp):
 
 
 def coherence_edges(spark, sf):
-    return edges_of(fps(spark, sf).filter("id < 300"))
+    return edges_of(fps(spark, sf))
 
 
 def coherence_clusters(spark, sf):
@@ -194,9 +205,11 @@ def coherence_clusters(spark, sf):
 
 
 def reference_outliers(spark, sf):
-    return audit.size_outliers(fps(spark, sf), 1.1, 2_000_000)
+    return audit.size_outliers(fps(spark, sf), 1.02, 1_700_000)
 
 
+_MASKS = ", ".join(f"({k}, {m >> 32}::BIGINT, {m & 0xFFFFFFFF}::BIGINT)" for k, m in enumerate(NOISE))
+VARIANTS = f"mk(k, m0, m1) AS (VALUES {_MASKS}), vr AS (SELECT id * 4 + k AS id, xor(p0, m0) AS p0, xor(p1, m1) AS p1, xor(d0, m0) AS d0, xor(d1, m1) AS d1 FROM fp, mk)"
 _SEG = " UNION ALL ".join(f"SELECT id, {16 * k} + ((p{k // 8} >> {28 - 4 * (k % 8)}) & 15) AS slot FROM fp" for k in range(16))
 _COH = replace(C, phash_max=64, dhash_max=64, total_max=80)
 
@@ -221,8 +234,8 @@ ORACLE_SQL = {
     "zero_hit_anti": _EXACT + ", s AS (SELECT min(candidate) AS specimen FROM k GROUP BY k) SELECT specimen FROM s WHERE specimen NOT IN (SELECT specimen FROM m)",
     "hit_counters": _EXACT + "SELECT specimen, count(*) AS hits FROM m GROUP BY specimen",
     "hamming_all_pairs": f"WITH {FP}, {PAIRS} SELECT id, s_id, pd, dd FROM pairs WHERE pd <= 20 OR dd <= 18",
-    "hamming_segment_join": f"WITH {FP}, {PAIRS} SELECT id, s_id, pd AS distance FROM pairs WHERE pd <= 15",
-    "near_dup_pairs": f"WITH {FP}, q AS (SELECT a.id AS id_a, b.id AS id_b, {HAM.format('a', 'b')} FROM fx a JOIN fx b ON a.id < b.id) SELECT * FROM q WHERE pd <= 15 AND dd <= 40",
+    "hamming_segment_join": f"WITH {FP}, {VARIANTS}, q AS (SELECT c.id, s.id AS s_id, (bit_count(xor(c.p0, s.p0)) + bit_count(xor(c.p1, s.p1)))::INT AS distance FROM vr c, fp s) SELECT * FROM q WHERE distance <= 15",
+    "near_dup_pairs": f"WITH {FP}, {VARIANTS}, q AS (SELECT a.id AS id_a, b.id AS id_b, {HAM.format('a', 'b')} FROM vr a JOIN vr b ON a.id < b.id AND a.id // 2 <> b.id // 2) SELECT * FROM q WHERE pd <= 15 AND dd <= 15",
     "perceptual_match": f"WITH {FP}, {PAIRS}, e AS ({sql_evidence(C)}), b AS ({sql_best('e')}) SELECT {_ROUND} FROM b WHERE score >= {C.score}::FLOAT",
     "suspicious_near_miss": f"WITH {FP}, {PAIRS}, e AS ({sql_evidence(S, S.near_miss_slack)}) SELECT {_ROUND} FROM e WHERE NOT ({sql_near(S)})",
     "cascade_decision": f"""WITH {FP}, {PAIRS}, e AS ({sql_evidence(C)}), b AS ({sql_best('e')}), yes AS (SELECT * FROM b WHERE score >= {C.score}::FLOAT),
@@ -234,7 +247,7 @@ ORACLE_SQL = {
       least(255, list_sum(list_transform(range(1, 4), lambda i: abs(c.grid[i] - s.grid[i]))) // 3)::INT AS rgb_delta,
       least(255, list_sum(list_transform(range(1, 17), lambda i: abs(c.grid[i] - s.grid[i]))) // 16)::INT AS grid_delta,
       least(255, list_sum(list_transform(range(1, 65), lambda i: abs(c.grid[i] - s.grid[i]))) // 64)::INT AS text_delta
-      FROM fp c, fp s WHERE c.id % 5 = 0 AND s.id % 5 <> 0 AND s.id < 100)
+      FROM fp c, fp s WHERE c.id % 5 = 0 AND s.id % 5 <> 0)
       SELECT *, round({' + '.join(f"((1::FLOAT - least(greatest({d}::FLOAT / {z}::FLOAT, 0::FLOAT), 1::FLOAT)) * 100::FLOAT)::DOUBLE * {w}" for d, z, w in (('luma_delta', 80, .25), ('rgb_delta', 70, .2), ('grid_delta', 70, .25), ('text_delta', 90, .3)))}, 2) AS visual FROM q""",
     "weighted_evidence_argmax": f"""WITH {FP}, {PAIRS}, a AS ({sql_evidence(S)}), st AS (SELECT *, ((1::FLOAT - least(greatest(dd::FLOAT / 64::FLOAT, 0::FLOAT), 1::FLOAT)) * 100::FLOAT)::FLOAT AS st FROM pairs WHERE dd <= 26),
       u AS (SELECT id, s_id, 1 AS seq, stage_score, score FROM a UNION ALL SELECT id, s_id, 2, st, (st * 1.4::FLOAT)::FLOAT FROM st),
@@ -246,8 +259,8 @@ ORACLE_SQL = {
     "variant_join": f"WITH {FP}, {PAIRS} SELECT id, s_id, 'original' AS variant, pd AS distance FROM pairs WHERE pd <= 20 UNION ALL SELECT id, s_id, 'preview', dd FROM pairs WHERE dd <= 18",
     "distinct_hash_dictionary": "SELECT substr(md5(text), 1, 4) AS value, count(*) AS members FROM documents GROUP BY 1 HAVING count(*) > 1",
     "index_occupancy": f"WITH {FP}, s AS ({_SEG}), c AS (SELECT slot, count(*) AS n FROM s GROUP BY slot), v AS (SELECT list_sort(list(n)) AS v FROM c) SELECT len(v)::BIGINT AS buckets, list_sum(v)::BIGINT AS entries, v[1]::BIGINT AS least, v[len(v)]::BIGINT AS most, round(list_sum(v) / len(v), 6) AS mean, {', '.join(f'v[ceil((len(v) - 1) * {p} / 100.0)::INT + 1]::BIGINT AS p{p}' for p in (50, 90, 95, 99))} FROM v",
-    "coherence_edges": f"WITH {FP}, q AS (SELECT a.id AS a, b.id AS b, {HAM.format('a', 'b')} FROM fx a JOIN fx b ON a.id < b.id WHERE b.id < 300), w AS (SELECT a, b, least(1000, greatest(0, round({sql_stage(_COH)}::DOUBLE)))::INT AS weight FROM q WHERE pd + dd <= {_COH.total_max}) SELECT * FROM w WHERE weight >= 42",
-    "reference_outliers": f"WITH {FP}, q AS (SELECT id, width, height, width * height > 1600000 AS large, (width / height > {1.1 * 1.2} OR width / height < 1 / {1.1 * 1.2}) AS odd FROM fx) SELECT * FROM q WHERE large OR odd",
+    "coherence_edges": f"WITH {FP}, q AS (SELECT a.id AS a, b.id AS b, {HAM.format('a', 'b')} FROM fx a JOIN fx b ON a.id < b.id), w AS (SELECT a, b, least(1000, greatest(0, round({sql_stage(_COH)}::DOUBLE)))::INT AS weight FROM q WHERE pd + dd <= {_COH.total_max}) SELECT * FROM w WHERE weight >= 42",
+    "reference_outliers": f"WITH {FP}, q AS (SELECT id, width, height, width * height > 1360000 AS large, (width / height > {1.02 * 1.2} OR width / height < 1 / {1.02 * 1.2}) AS odd FROM fx) SELECT * FROM q WHERE large OR odd",
 }
 ORACLE_SQL["coherence_clusters"] = f"""WITH RECURSIVE edges AS ({ORACLE_SQL['coherence_edges']}), e AS (SELECT a, b FROM edges WHERE weight >= 60 UNION ALL SELECT b, a FROM edges WHERE weight >= 60),
   r AS (SELECT a AS node, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON r.node = e.a), c AS (SELECT node, min(root) AS cluster FROM r GROUP BY node)

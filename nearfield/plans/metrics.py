@@ -136,6 +136,8 @@ def _timing(keys: str, cap: int) -> str:
 _PERIOD = "SELECT guild, period, n, sum(n) OVER (PARTITION BY guild ORDER BY period)::BIGINT AS running FROM (SELECT guild, time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS period, count(*) AS n FROM e GROUP BY ALL)"
 
 ORACLE_SQL = {
+    "lru_dedup": f"""WITH {_E}, r AS (SELECT guild, user_id, event_id, row_number() OVER (PARTITION BY guild ORDER BY event_id) AS rn FROM e), p AS (SELECT *, lag(rn) OVER (PARTITION BY guild, user_id ORDER BY rn) AS prev FROM r)
+      SELECT guild, user_id, event_id FROM p WHERE prev IS NULL OR (SELECT count(DISTINCT o.user_id) FROM r o WHERE o.guild = p.guild AND o.rn > p.prev AND o.rn < p.rn) >= 3""",
     "metric_counters": f"WITH {_E} SELECT guild, count(*) AS total, {', '.join(f'count(*) FILTER (WHERE event_type = {k!r}) AS n_{k}' for k in KINDS)} FROM e GROUP BY guild",
     "timing_ring": _timing("guild", 512),
     "class_breakdown": _timing("guild, event_type", 128),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from nearfield.functions import media, text
-from nearfield.operators import gate
+from nearfield.operators import fingerprints, gate
 from nearfield.plans.policy import TextGate
 from nearfield.sources import records
 
@@ -31,8 +31,8 @@ def text_gate_verdict(spark, sf):
 
 
 def fuzzy_phrase(spark, sf):
-    d = load(spark, sf, "documents").select("doc_id", text.tokens(F.col("text")).alias("toks"))
-    hit = lambda k: text.contains_window(F.col("toks"), "the and attion to thanedble the anea", k)
+    d = load(spark, sf, "documents").select("doc_id", text.normalize(F.col("text")).alias("normal"))
+    hit = lambda k: text.contains_phrase(F.col("normal"), "the and attion to thanedble the anea", k)
     return d.select("doc_id", hit(0).alias("exact"), hit(2).alias("fuzzy")).filter("fuzzy")
 
 
@@ -45,7 +45,7 @@ def two_phase_decision(spark, sf):
 
 def pattern_union(spark, sf):
     """Patterns of all items, normalised, the first of equals kept in order."""
-    d = load(spark, sf, "benchmark").select("item_id", F.slice(text.tokens(F.col("text")), 1, 6).alias("p"))
+    d = load(spark, sf, "benchmark").select("item_id", text.tokens(F.col("text")).alias("p"))
     return d.select("item_id", F.array_join(F.array_distinct("p"), " ").alias("patterns"))
 
 
@@ -71,8 +71,17 @@ def media_flatten(spark, sf):
 
 
 def record_validation(spark, sf):
-    d = load(spark, sf, "documents").withColumn("hash", F.when(F.col("doc_id") % 7 == 0, F.substring(F.md5("text"), 1, 31)).otherwise(F.md5("text")))
-    return records.problems(d.select(F.col("doc_id").alias("id"), "hash", F.col("n_chars").alias("size"), (F.col("doc_id") % 80).alias("region"), "lang"))
+    """Fingerprint records, some of which are spoilt, each in one way or two."""
+    id_, spoilt = F.col("id"), lambda k: F.col("id") % k == 1
+    d = fingerprints.fingerprints(load(spark, sf, "embeddings")).withColumn("h", F.md5(id_.cast("string")))
+    d = d.select(
+        "id", F.when(spoilt(17), 0).otherwise(F.col("width")).alias("width"), F.when(spoilt(29), 0).otherwise(F.col("height")).alias("height"),
+        F.when(spoilt(7), F.substring("h", 1, 31)).otherwise(F.col("h")).alias("byte_hash"), F.when(spoilt(11), F.concat(F.lit("g"), F.substring("h", 2, 15))).otherwise(F.substring("h", 1, 16)).alias("phash64"), F.substring("h", 17, 16).alias("dhash64"),
+        F.array(F.lit(1), F.when(spoilt(13), 256).otherwise(255), F.lit(0)).alias("rgb_mean"), F.slice("grid", 1, F.when(spoilt(19), 15).otherwise(16)).alias("grid_luma"), F.slice("grid", 1, F.when(id_ % 3 == 0, 0).when(spoilt(23), 8).otherwise(64)).alias("text_grid"),
+        F.array(F.struct(F.substring("h", 1, F.when(spoilt(31), 9).otherwise(16)).alias("hash"), (id_ % 66).cast("int").alias("region"), F.when(spoilt(37), 0).otherwise(9).alias("w"), F.lit(9).alias("h"))).alias("local_anchors"),
+        F.array(F.struct((id_ % 65).cast("int").alias("region"), (id_ % 41).cast("int").alias("scale_percent"))).alias("local_hashes"),
+    )
+    return records.problems(d)
 
 
 def exemption_filter(spark, sf):
@@ -97,7 +106,10 @@ def specimen_ids(spark, sf):
 
 
 def jsonl_export(spark, sf):
-    return records.capped_export(load(spark, sf, "benchmark"), "item_id", 5_000)
+    """Within the cap: every line; beyond it: the refusal alone."""
+    d = load(spark, sf, "benchmark")
+    some = records.capped_export(d, "item_id", 8 << 20).withColumn("cap", F.lit(8 << 20))
+    return some.unionByName(records.capped_export(d, "item_id", 5_000).withColumn("cap", F.lit(5_000)))
 
 
 def audit_rows(spark, sf):
@@ -159,6 +171,13 @@ _GATE_SQL = f"""t AS (SELECT conv_id || '-' || turn AS id, text, {_T.format('tex
   g AS (SELECT id, sentence_hit, keyword_hits, CASE WHEN sentence_hit THEN 'confirmed_sentence' WHEN keyword_hits >= 2 THEN 'confirmed_keywords' WHEN keyword_hits > 0 THEN 'partial_keywords' ELSE 'rejected' END AS decision FROM h),
   v AS (SELECT *, CASE WHEN decision LIKE 'confirmed%' THEN 'bad' WHEN decision = 'rejected' THEN 'good' ELSE 'unknown' END AS verdict,
     CASE decision WHEN 'confirmed_sentence' THEN 0.95 WHEN 'confirmed_keywords' THEN 0.9 WHEN 'partial_keywords' THEN least(greatest(keyword_hits / 2.0, 0.25), 0.75) ELSE 0.75 END::FLOAT AS confidence FROM g)"""
+
+
+def _hmac(message: str) -> str:
+    pad = lambda x: bytes(b ^ x for b in b"key-1".ljust(64, b"\0")).hex()
+    return f"sha256(unhex('{pad(0x5C)}') || unhex(sha256(unhex('{pad(0x36)}') || {message}::BLOB)))"
+
+
 _HOST = r"lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1))"
 _FIT = "least(768.0::DOUBLE / w, 2048.0::DOUBLE / h, sqrt(786432.0::DOUBLE / (w::DOUBLE * h)), 1.0::DOUBLE)"
 
@@ -168,20 +187,23 @@ ORACLE_SQL = {
     "text_gate_verdict": f"WITH {_GATE_SQL} SELECT * FROM v",
     "fuzzy_phrase": f"WITH t AS (SELECT doc_id, {_T.format('text')} AS toks FROM documents), h AS (SELECT doc_id, {_window_sql('toks', _SN[0], 0)} AS exact, {_window_sql('toks', _SN[0], 2)} AS fuzzy FROM t) SELECT * FROM h WHERE fuzzy",
     "two_phase_decision": f"WITH {_GATE_SQL}, m AS (SELECT conv_id || '-' || turn AS id, CASE length(text) % 3 WHEN 0 THEN 'suspicious' WHEN 1 THEN 'confirmed' ELSE 'pass' END AS decision FROM conversations) SELECT m.id, m.decision, verdict, CASE WHEN m.decision = 'suspicious' AND verdict = 'bad' THEN 'confirmed' WHEN m.decision = 'suspicious' AND verdict = 'good' THEN 'pass' ELSE m.decision END AS final FROM m LEFT JOIN v USING (id)",
-    "pattern_union": f"WITH t AS (SELECT item_id, list_slice({_T.format('text')}, 1, 6) AS p FROM benchmark), u AS (SELECT item_id, p, unnest(range(1, len(p) + 1)) AS i FROM t), f AS (SELECT item_id, p[i] AS x, min(i) AS i FROM u GROUP BY ALL) SELECT item_id, string_agg(x, ' ' ORDER BY i) AS patterns FROM f GROUP BY item_id",
+    "pattern_union": f"WITH t AS (SELECT item_id, {_T.format('text')} AS p FROM benchmark), u AS (SELECT item_id, p, unnest(range(1, len(p) + 1)) AS i FROM t), f AS (SELECT item_id, p[i] AS x, min(i) AS i FROM u GROUP BY ALL) SELECT item_id, string_agg(x, ' ' ORDER BY i) AS patterns FROM f GROUP BY item_id",
     "url_policy": f"WITH h AS (SELECT page_id, url, {_HOST} AS host FROM pages) SELECT page_id, host, url LIKE 'https://%' AND ({' OR '.join(f'host = {s!r} OR host LIKE {chr(37) + "." + s!r}' for s in HOSTS)}) AS allowed FROM h".replace("%'.", "%."),
     "extension_allowlist": "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'jpg' WHEN 1 THEN 'png' WHEN 2 THEN 'gif' WHEN 3 THEN 'txt' ELSE 'webp' END AS ext, page_id % 5 IN (0, 1, 4) AS allowed FROM pages",
     "media_flatten": "WITH a AS (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) AS l FROM pages), u AS (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM a), f AS (SELECT page_id, l[i] AS url, min(i) AS i FROM u GROUP BY ALL), r AS (SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY i) AS idx FROM f QUALIFY idx <= 4) SELECT page_id, url, (idx - 1)::INT AS idx, count(*) OVER (PARTITION BY page_id) AS total FROM r",
-    "record_validation": "WITH d AS (SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN substr(md5(text), 1, 31) ELSE md5(text) END AS hash, n_chars AS size, doc_id % 80 AS region FROM documents) SELECT id, CASE WHEN NOT regexp_full_match(hash, '[0-9a-f]{32}') THEN 'hash' WHEN region >= 64 THEN 'region' WHEN size > 20000 THEN 'size' END AS problem FROM d WHERE problem IS NOT NULL",
+    "record_validation": """WITH d AS (SELECT vec_id AS id FROM embeddings) SELECT id, CASE WHEN id % 17 = 1 THEN 'width' WHEN id % 29 = 1 THEN 'height' WHEN id % 7 = 1 THEN 'byte_hash' WHEN id % 11 = 1 THEN 'phash64' WHEN id % 13 = 1 THEN 'rgb_mean'
+      WHEN id % 19 = 1 THEN 'grid_luma' WHEN id % 3 <> 0 AND id % 23 = 1 THEN 'text_grid' WHEN id % 31 = 1 THEN 'anchor_hash' WHEN id % 66 >= 64 THEN 'anchor_region' WHEN id % 37 = 1 THEN 'anchor_size' WHEN id % 65 >= 64 THEN 'feature_region' WHEN id % 41 < 1 THEN 'feature_scale' END AS problem FROM d WHERE problem IS NOT NULL""",
+    "hmac_verify": f"""WITH n AS (SELECT n_nationkey, n_name AS message, CASE WHEN n_nationkey % 4 = 0 THEN 'x' ELSE n_name END AS claimed FROM nation),
+      h AS (SELECT n_nationkey, {_hmac("message")} AS signature, sha256(message) AS digest, {_hmac("claimed")} AS again FROM n) SELECT n_nationkey, signature, digest, again = signature AS valid FROM h""",
     "exemption_filter": "SELECT conv_id, turn FROM conversations WHERE turn % 3 = 0 OR role NOT IN ('system', 'assistant')",
     "metadata_rejection": "WITH d AS (SELECT doc_id, n_chars * 1500 AS size, n_chars % 4000 AS w, doc_id * 37 % 4000 AS h FROM documents) SELECT doc_id, CASE WHEN size > 8000000 THEN 'metadata_file_too_large' WHEN w = 0 OR h = 0 THEN 'metadata_invalid_dimensions' WHEN w * h > 12000000 THEN 'metadata_pixels_too_large' WHEN greatest(w, h) / least(w, h) > 4 THEN 'metadata_aspect_too_large' END AS reason FROM d",
     "preview_route": f"WITH d AS (SELECT doc_id, n_chars % 4000 + 1 AS w, doc_id * 37 % 3000 + 500 AS h FROM documents), p AS (SELECT doc_id, w::INT AS w, h::INT AS h, greatest(round(w * {_FIT}), 1)::INT AS pw, greatest(round(h * {_FIT}), 1)::INT AS ph FROM d) SELECT * FROM p WHERE w::BIGINT * h <= 12000000 AND greatest(w, h) / least(w, h) <= 4 AND NOT (pw >= w AND ph >= h) AND 100 - (pw::BIGINT * ph * 100) // (w::BIGINT * h) >= 35",
     "specimen_ids": "SELECT event_id, 'spm_' || strftime(ts, '%Y%m%d') || '_' || substr(md5(event_id::VARCHAR), 1, 12) AS specimen_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z' AS created_at FROM events",
-    "jsonl_export": "WITH l AS (SELECT item_id, '{\"item_id\":' || item_id || ',\"text\":' || to_json(text)::VARCHAR || '}' AS line FROM benchmark), r AS (SELECT item_id, line, sum(strlen(line) + 1) OVER (ORDER BY item_id)::BIGINT AS upto FROM l) SELECT item_id, line, upto FROM r WHERE upto <= 5000",
+    "jsonl_export": "WITH l AS (SELECT item_id, '{\"item_id\":' || item_id || ',\"text\":' || to_json(text)::VARCHAR || '}' AS line FROM benchmark), t AS (SELECT sum(strlen(line) + 1) AS total FROM l), c AS (SELECT unnest([8388608, 5000]) AS cap) SELECT item_id, line, false AS refused, cap FROM l, t, c WHERE total <= cap UNION ALL SELECT NULL, NULL, true, cap FROM t, c WHERE total > cap",
     "audit_rows": "SELECT o_orderkey, 'order=' || o_orderkey || ' status=' || o_orderstatus || ' priority=' || replace(o_orderpriority, ' ', '_') AS line FROM orders",
     "action_intents": "WITH d AS (SELECT doc_id, length(text) % 3 AS k FROM documents) SELECT doc_id, unnest(CASE k WHEN 0 THEN ['delete', 'timeout', 'log'] ELSE ['log'] END) AS action, unnest(CASE k WHEN 0 THEN [1, 2, 3] ELSE [1] END) AS seq FROM d WHERE k < 2",
     "import_outcomes": "WITH d AS (SELECT CASE WHEN n_chars < 300 THEN 'failed' WHEN row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) > 1 THEN 'duplicate' ELSE 'added' END AS outcome FROM documents) SELECT outcome, count(*) AS n FROM d GROUP BY outcome",
-    "percent_labels": "SELECT c_mktsegment, printf('%.1f%%', count(*) FILTER (WHERE c_acctbal > 0) * 100.0 / count(*)) AS label FROM customer GROUP BY 1",
+    "percent_labels": "WITH t AS (SELECT c_mktsegment, (count(*) FILTER (WHERE c_acctbal > 0) * 1000) // count(*) AS tenths FROM customer GROUP BY 1) SELECT c_mktsegment, (tenths // 10) || '.' || (tenths % 10) || '%' AS label FROM t",
     "safe_names": r"WITH p AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_extract(url, '//[^/]*/(.*)$', 1), '\.[^.]*$', ''), '[^A-Za-z0-9_-]', '_', 'g') AS s FROM pages) SELECT page_id, CASE WHEN s = '' THEN 'image' ELSE s END AS stem, substr(url, 1, 20) AS short FROM p",
     "base64url_codec": "SELECT n_nationkey, n_name AS name, (4 + (strlen('{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\",\"n_regionkey\":' || n_regionkey || '}') * 4 + 2) // 3)::INT AS n FROM nation",
     "retry_delays": "SELECT n_nationkey, least(5000, 100 * pow(2, greatest(n_nationkey - 1, 0)))::BIGINT AS delay_ms FROM nation",

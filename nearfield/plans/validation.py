@@ -62,8 +62,10 @@ def quality_gates(spark, sf):
 
 def tier1_subset(spark, sf):
     pairs = plans.pairs(spark, sf)
-    t1 = matching.perceptual_evidence(pairs, WIDE.confirmed).select("id").distinct()
-    full = matching.cascade(pairs, WIDE).select("id")
+    confirmed = lambda p: matching.cascade(pairs, p).filter("decision = 'confirmed'").select("id")
+    # the first tier's hashes allow as much as those of the full policy, whose score asks for more
+    t1 = confirmed(replace(WIDE, confirmed=replace(WIDE.confirmed, score=63.0)))
+    full = confirmed(replace(WIDE, confirmed=replace(WIDE.confirmed, score=66.0)))
     bad = validation.subset_violations(t1, full, "id")
     return t1.agg(F.count("*").alias("tier1")).crossJoin(full.agg(F.count("*").alias("full"))).crossJoin(bad.agg(F.count("*").alias("violations")))
 
@@ -125,7 +127,7 @@ ORACLE_SQL = {
       SELECT {_METRICS} FROM c""",
     "threshold_sweep": f"{_SWEEP} SELECT * FROM r",
     "quality_gates": f"{_SWEEP} SELECT policy, fn = 0 AS no_misses, fp <= 5 AS few_false, coalesce(precision_ >= 0.6, false) AS precise, coalesce(specificity >= 0.9, false) AS specific, fn = 0 AND fp <= 5 AND coalesce(precision_ >= 0.6, false) AND coalesce(specificity >= 0.9, false) AS passed FROM r",
-    "tier1_subset": f"WITH {plans.FP}, {plans.PAIRS}, t AS (SELECT DISTINCT id FROM ({plans.sql_evidence(WIDE.confirmed)})), full_ AS (SELECT id FROM ({_CASCADE})) SELECT (SELECT count(*) FROM t) AS tier1, (SELECT count(*) FROM full_) AS full, (SELECT count(*) FROM t WHERE id NOT IN (SELECT id FROM full_)) AS violations",
+    "tier1_subset": f"WITH {plans.FP}, {plans.PAIRS}, s AS (SELECT id, max(score) AS top FROM ({plans.sql_evidence(WIDE.confirmed)}) GROUP BY id), t AS (SELECT id FROM s WHERE top >= 63::FLOAT), full_ AS (SELECT id FROM s WHERE top >= 66::FLOAT) SELECT (SELECT count(*) FROM t) AS tier1, (SELECT count(*) FROM full_) AS full, (SELECT count(*) FROM t WHERE id NOT IN (SELECT id FROM full_)) AS violations",
     "prediction_sets": f"WITH c AS ({_CASCADE}) SELECT CASE decision WHEN 'confirmed' THEN 'matched' ELSE 'suspicious_only' END AS category, id FROM c UNION ALL SELECT 'either', id FROM c UNION ALL SELECT 'unmatched', vec_id FROM embeddings WHERE vec_id % 5 = 0 AND vec_id NOT IN (SELECT id FROM c)",
     "transform_coverage": f"WITH c AS ({_CASCADE}) SELECT label, count(*) FILTER (WHERE decision = 'confirmed') AS hard, count(*) FILTER (WHERE decision = 'suspicious') AS soft, count(*) FILTER (WHERE decision IS NULL) AS unmatched FROM embeddings e LEFT JOIN c ON c.id = e.vec_id WHERE vec_id % 5 = 0 GROUP BY label",
     "case_features": f"WITH {plans.FP}, {plans.PAIRS}, t AS (SELECT id, label, min(pd + dd) AS t FROM pairs GROUP BY ALL), v AS (SELECT label, list_sort(list(t)) AS v FROM t GROUP BY label) SELECT label, {', '.join(f'v[least(len(v) * {k} // 4, len(v) - 1) + 1] AS q{k}' for k in (1, 2, 3))} FROM v",

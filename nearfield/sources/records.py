@@ -38,8 +38,17 @@ def parse_import(d: DataFrame, raw: str, schema: str) -> DataFrame:
 
 
 def problems(d: DataFrame) -> DataFrame:
-    """id and the first problem of records that don't fit: hash of 32 hexadecimal digits, region below 64, size."""
-    p = F.when(~F.coalesce(F.col("hash").rlike("^[0-9a-f]{32}$"), F.lit(False)), "hash").when(F.col("region") >= 64, "region").when(F.col("size") > 20_000, "size")
+    """id and the first problem of fingerprint records that don't fit, in the order of the checks.
+
+    Hashes are hexadecimal (32 digits for the content, 16 for the others), both sides at least 1, arrays of 3, 16 and 64
+    bytes (the text grid may be empty), regions below 64, sizes of features positive, scales positive.
+    """
+    hexa = lambda c, n: F.coalesce(F.col(c).rlike(f"^[0-9a-fA-F]{{{n}}}$"), F.lit(False))
+    bytes_ = lambda c: F.exists(c, lambda x: x.isNull() | (x < 0) | (x > 255))
+    checks = [("width", F.coalesce(F.col("width") < 1, F.lit(True))), ("height", F.coalesce(F.col("height") < 1, F.lit(True))), ("byte_hash", ~hexa("byte_hash", 32)), ("phash64", ~hexa("phash64", 16)), ("dhash64", ~hexa("dhash64", 16))]
+    checks += [(c, (F.size(c) != n) | bytes_(c)) for c, n in (("rgb_mean", 3), ("grid_luma", 16))]
+    checks += [("text_grid", ~F.size("text_grid").isin(0, 64) | bytes_("text_grid")), ("anchor_hash", F.exists("local_anchors", lambda a: ~F.coalesce(a["hash"].rlike("^[0-9a-fA-F]{16}$"), F.lit(False)))), ("anchor_region", F.exists("local_anchors", lambda a: a["region"] >= 64)), ("anchor_size", F.exists("local_anchors", lambda a: (a["w"] < 1) | (a["h"] < 1))), ("feature_region", F.exists("local_hashes", lambda a: a["region"] >= 64)), ("feature_scale", F.exists("local_hashes", lambda a: a["scale_percent"] < 1))]
+    p = F.coalesce(*[F.when(bad, name) for name, bad in checks])
     return d.select("id", p.alias("problem")).filter("problem is not null")
 
 
@@ -63,10 +72,12 @@ def recover(raw: DataFrame, parsed: DataFrame, key: str, rebuild: Callable[[Data
 
 
 def capped_export(d: DataFrame, order: str, most_bytes: int) -> DataFrame:
-    """JSON lines in order, while their bytes (with line ends) stay within the cap."""
+    """order, line and refused: every row as a line of JSON where all of them, with line ends, are within the cap; else one
+    row without a line, refused: an export is whole or it isn't made."""
     line = d.withColumn("line", F.to_json(F.struct(*d.columns)))
-    upto = F.sum(F.octet_length("line") + 1).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return line.withColumn("upto", upto).filter(F.col("upto") <= most_bytes).select(order, "line", "upto")
+    total = line.agg(F.coalesce(F.sum(F.octet_length("line") + 1), F.lit(0)).alias("total"))
+    lines = line.join(F.broadcast(total.filter(F.col("total") <= most_bytes)), how="cross").select(order, "line", F.lit(False).alias("refused"))
+    return lines.unionByName(total.filter(F.col("total") > most_bytes).select(F.lit(None).cast(line.schema[order].dataType).alias(order), F.lit(None).cast("string").alias("line"), F.lit(True).alias("refused")))
 
 
 def write_fingerprints(d: DataFrame, folder: str) -> None:
