@@ -53,12 +53,18 @@ def contains_phrase(normal: Column, pattern: str, limit: int) -> Column:
     """
     if limit == 0:
         return F.concat(F.lit(" "), normal, F.lit(" ")).contains(f" {pattern} ")
-    n, near = len(pattern), F.lit(False)
+    n = len(pattern)
     cuts = [n * k // (limit + 1) for k in range(limit + 2)]
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        near = near | normal.contains(pattern[a:b])
-    w = windows(F.split(normal, " "), len(pattern.split()))
-    return F.when(near, F.exists(w, lambda x: (F.abs(F.length(x) - n) <= limit) & (F.levenshtein(x, F.lit(pattern), limit) >= 0))).otherwise(False)
+
+    def within(t: Column) -> Column:
+        near = F.lit(False)
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            near = near | t.contains(pattern[a:b])
+        w = windows(F.split(t, " "), len(pattern.split()))
+        return near & F.exists(w, lambda x: (F.abs(F.length(x) - n) <= limit) & (F.levenshtein(x, F.lit(pattern), limit) >= 0))
+
+    # bound by a lambda, a text is normalised once, wherever the optimiser moves this
+    return F.coalesce(F.exists(F.array(normal), within), F.lit(False))
 
 
 def truncate(x: Column, n: int = 160) -> Column:

@@ -31,9 +31,8 @@ def text_gate_verdict(spark, sf):
 
 
 def fuzzy_phrase(spark, sf):
-    d = load(spark, sf, "documents").select("doc_id", text.normalize(F.col("text")).alias("normal"))
-    hit = lambda k: text.contains_phrase(F.col("normal"), "the and attion to thanedble the anea", k)
-    return d.select("doc_id", hit(0).alias("exact"), hit(2).alias("fuzzy")).filter("fuzzy")
+    hit = lambda k: text.contains_phrase(text.normalize(F.col("text")), "the and attion to thanedble the anea", k)
+    return load(spark, sf, "documents").filter(hit(2)).select("doc_id", hit(0).alias("exact"), F.lit(True).alias("fuzzy"))
 
 
 def two_phase_decision(spark, sf):
