@@ -67,11 +67,15 @@ def mutual_best(hits: DataFrame) -> DataFrame:
 
 
 def unverified_support(hits: DataFrame, margin: int = 2) -> DataFrame:
-    """hits, ratio-filtered hits, regions, mean distance and retention in permille of each pair."""
-    t = top_distinct(hits, 1)
+    """raw_hits (reference features with a hit), hits (those with one that is margin nearer than the runner-up, of the
+    three best the nearest), regions, mean distance, spread (the lesser side of their box in the candidate) and retention
+    in permille of each pair that has any. hits needs pos_x and pos_y of the candidate's feature."""
     kept = F.col("second").isNull() | (F.col("second") - F.col("distance") >= margin)
-    g = t.groupBy("id", "s_id").agg(F.count("*").alias("raw_hits"), F.count_if(kept).alias("hits"), F.countDistinct(F.when(kept, F.col("s_region"))).alias("regions"), F.round(F.avg(F.when(kept, F.col("distance"))), 6).alias("mean_distance"))
-    return g.withColumn("permille", F.floor(F.col("hits") * 1000 / F.col("raw_hits")).cast("int"))
+    nearest = F.min(F.when(kept, F.struct("distance", "quality", "ord", "s_region", "pos_x", "pos_y"))).alias("b")
+    t = top_distinct(hits, 3).groupBy("id", "s_id", "s_ord").agg(nearest)
+    side = lambda c: F.max(f"b.{c}") - F.min(f"b.{c}")
+    g = t.groupBy("id", "s_id").agg(F.count("*").alias("raw_hits"), F.count("b").alias("hits"), F.countDistinct("b.s_region").alias("regions"), F.round(F.avg("b.distance"), 6).alias("mean_distance"), F.least(side("pos_x"), side("pos_y")).cast("int").alias("spread"))
+    return g.filter("hits > 0").withColumn("permille", F.floor(F.col("hits") * 1000 / F.col("raw_hits")).cast("int"))
 
 
 def region_rounds(features: DataFrame, limit: int) -> DataFrame:

@@ -6,8 +6,8 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from nearfield.operators import fingerprints, geometry, graph, local, pixels
-from nearfield.plans.policy import Threshold
+from nearfield.operators import cascade, fingerprints, geometry, graph, local, matching, pixels
+from nearfield.plans.policy import Shape, Threshold
 
 from . import matching as plans
 from .tables import load
@@ -46,8 +46,61 @@ def mutual_best(spark, sf):
     return local.mutual_best(_hits(spark, sf)).select("id", "s_id", "ord", "s_ord", "distance")
 
 
+def _placed(spark, sf):
+    _, cand = _sides(spark, sf)
+    return _hits(spark, sf).join(cand.select("id", "ord", "pos_x", "pos_y"), ["id", "ord"])
+
+
 def unverified_support(spark, sf):
-    return local.unverified_support(_hits(spark, sf))
+    return local.unverified_support(_placed(spark, sf))
+
+
+_W = plans.WIDE
+FULL = replace(
+    _W, confirmed=replace(_W.confirmed, score=66.0, min_hits=4, min_regions=2, max_mean_distance=23.0, full_hits=8, full_regions=8, full_spread=200.0),
+    suspicious=replace(_W.suspicious, score=45.0, min_hits=3, min_regions=2, max_mean_distance=23.0, full_hits=8, full_regions=8, full_spread=200.0, support_hits=2, support_regions=2, support_mean=22.0, support_total=64),
+    cluster_member=42, shape=Shape(min_luma=60, max_luma=200, min_std=60, max_std=200, min_text=24, max_text=170, max_rgb_spread=120, min_local=1, min_signals=3, full=700.0),
+)
+
+
+def _cascade(spark, sf, verified):
+    fp = plans.fps(spark, sf).withColumn("n_local", F.lit(fingerprints.HOTS))
+    spec, cand = fingerprints.split(fp)
+    cand = cascade.with_shape(cand, FULL.shape, FULL.suspicious)
+    cols = ["id", "ph", "dh", "width", "height"]
+    pairs = matching.all_pairs(spec.select(*cols), cand.select(*cols, "bonus"))
+    # every fifth candidate is a copy of the specimen behind it
+    key = F.md5(F.when(F.col("id") % 25 == 0, F.col("id") + 1).otherwise(F.col("id")).cast("string"))
+    exact = cand.select(F.col("id").alias("candidate"), key.alias("k")).join(spec.select(F.col("id").alias("specimen"), key.alias("k")), "k")
+    return exact, pairs, plans.edges_of(spec), (geometry_verify(spark, sf) if verified else None), local.unverified_support(_placed(spark, sf))
+
+
+def cascade_full(spark, sf):
+    """All stages, local anchors with verified geometry."""
+    exact, pairs, edges, anchors, support = _cascade(spark, sf, True)
+    d = cascade.decide(exact, pairs, FULL, edges, anchors, None, support)
+    return d.withColumn("score", F.round(F.col("score").cast("double"), 2))
+
+
+def cascade_unverified(spark, sf):
+    """All stages but verified geometry, which SQL can't express: exact, hashes, unverified support, shape and clusters."""
+    exact, pairs, edges, _, support = _cascade(spark, sf, False)
+    d = cascade.decide(exact, pairs, FULL, edges, None, None, support)
+    return d.withColumn("score", F.round(F.col("score").cast("double"), 2))
+
+
+def cascade_full_explain(spark, sf):
+    """Best specimen and score of every candidate after each stage of the confirmed level, and at the suspicious one."""
+    _, pairs, _, anchors, support = _cascade(spark, sf, True)
+    steps = cascade.confirmed_steps(pairs, anchors, None, FULL.confirmed).select("id", F.lit("confirmed").alias("level"), "step", "stage", "s_id", "score", "passed")
+    maybe = cascade.suspicious_scores(pairs, anchors, None, support, FULL.suspicious).groupBy("id").agg(F.max(F.struct("score", "s_id", "top")).alias("b"))
+    maybe = maybe.select("id", F.lit("suspicious").alias("level"), F.lit(1).alias("step"), F.col("b.top").alias("stage"), "b.s_id", "b.score", (F.col("b.score") >= F.lit(FULL.suspicious.score).cast("float")).alias("passed"))
+    return steps.unionByName(maybe).withColumn("score", F.round(F.col("score").cast("double"), 2))
+
+
+def visual_shape(spark, sf):
+    d = cascade.with_shape(plans.fps(spark, sf).withColumn("n_local", F.lit(fingerprints.HOTS)), FULL.shape, FULL.suspicious)
+    return d.select("id", F.round(F.col("bonus").cast("double"), 3).alias("bonus"), cascade.text_stats(F.col("grid")).alias("t")).select("id", "bonus", "t.*")
 
 
 def ring_region_select(spark, sf):
@@ -57,7 +110,7 @@ def ring_region_select(spark, sf):
 
 def geometry_verify(spark, sf):
     spec, cand = _sides(spark, sf)
-    hits = local.bucket_hits(spec, cand, T, MOST).select("id", "s_id", "ord", "s_ord", "quality", F.col("s_region").alias("region"))
+    hits = local.bucket_hits(spec, cand, T, MOST).select("id", "s_id", "ord", "s_ord", "distance", "quality", F.col("s_region").alias("region"))
     at = lambda d, p: d.select(F.col("id").alias(f"{p}id"), F.col("ord").alias(f"{p}ord"), F.col("pos_x").alias(f"{p}x"), F.col("pos_y").alias(f"{p}y"))
     return geometry.verify_pairs(hits.join(at(spec, "s_"), ["s_id", "s_ord"]).join(at(cand, ""), ["id", "ord"]))
 
@@ -81,7 +134,7 @@ def cluster_promotion(spark, sf):
     return graph.promotion(d, edges, 42, 50, 2)
 
 
-QUERIES = {f.__name__: f for f in (anchor_bucket_join, dense_bucket_join, anchor_ranking, anchor_runner_up, mutual_best, unverified_support, ring_region_select, geometry_verify, phash_dhash, orb_features, cluster_promotion)}
+QUERIES = {f.__name__: f for f in (cascade_full, cascade_unverified, cascade_full_explain, visual_shape, anchor_bucket_join, dense_bucket_join, anchor_ranking, anchor_runner_up, mutual_best, unverified_support, ring_region_select, geometry_verify, phash_dhash, orb_features, cluster_promotion)}
 
 
 def _bits(k: int, s: int, h: int) -> str:
@@ -103,6 +156,9 @@ _HITS = f"""WITH {_G}, {_LOCAL}, hits AS (SELECT s.id AS s_id, s.ord AS s_ord, c
   ((({_H1} + {_H2} + 1) // 2) * 4 + {_FEAT} + greatest({_D('x')}, {_D('y')}))::INT AS quality, s.region AS s_region FROM lf s, lf c
   WHERE s.id % 5 <> 0 AND c.id % 5 = 0 AND ({_SHARE4}) AND ({_H1} + {_H2} + 1) // 2 <= {MOST} AND {_LIKE} AND {_D('x')} <= {T.position_delta} AND {_D('y')} <= {T.position_delta})"""
 _RANKED = "r AS (SELECT *, row_number() OVER (PARTITION BY id, s_id, s_ord ORDER BY quality, distance, ord) AS rank FROM hits), t AS (SELECT r.*, (SELECT min(o.distance) FROM hits o WHERE o.id = r.id AND o.s_id = r.s_id AND o.s_ord = r.s_ord AND o.ord <> r.ord) AS second FROM r)"
+_SUPPORT = """k AS (SELECT * FROM t WHERE rank <= 3), raw AS (SELECT id, s_id, count(DISTINCT s_ord) AS raw_hits FROM k GROUP BY ALL),
+  kept AS (SELECT k.*, lf.x, lf.y FROM k JOIN lf ON lf.id = k.id AND lf.ord = k.ord WHERE second IS NULL OR second - distance >= 2 QUALIFY row_number() OVER (PARTITION BY k.id, s_id, s_ord ORDER BY distance, quality, k.ord) = 1),
+  sup AS (SELECT id, s_id, raw_hits, count(*) AS hits, count(DISTINCT s_region) AS regions, round(avg(distance), 6) AS mean_distance, least(max(x) - min(x), max(y) - min(y))::INT AS spread, (count(*) * 1000 // raw_hits)::INT AS permille FROM kept JOIN raw USING (id, s_id) GROUP BY id, s_id, raw_hits)"""
 
 ORACLE_SQL = {
     "anchor_bucket_join": f"{_HITS} SELECT * FROM hits",
@@ -110,9 +166,37 @@ ORACLE_SQL = {
     "anchor_ranking": f"{_HITS}, b AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY id, s_id, s_ord ORDER BY quality, distance, ord) = 1), q AS (SELECT id, s_id, count(*) AS hits, count(DISTINCT ord) AS votes, sum(quality)::BIGINT AS quality FROM b GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY id ORDER BY hits DESC, votes DESC, quality, s_id) AS rank FROM q QUALIFY rank <= 32",
     "anchor_runner_up": f"{_HITS}, {_RANKED} SELECT id, s_id, s_ord, ord, rank, second FROM t WHERE rank <= 3",
     "mutual_best": f"{_HITS} SELECT id, s_id, ord, s_ord, distance FROM hits QUALIFY row_number() OVER (PARTITION BY id, s_id, ord ORDER BY distance, s_ord) = 1",
-    "unverified_support": f"{_HITS}, {_RANKED}, k AS (SELECT *, second IS NULL OR second - distance >= 2 AS kept FROM t WHERE rank = 1) SELECT id, s_id, count(*) AS raw_hits, count(*) FILTER (WHERE kept) AS hits, count(DISTINCT s_region) FILTER (WHERE kept) AS regions, round(avg(distance) FILTER (WHERE kept), 6) AS mean_distance, (count(*) FILTER (WHERE kept) * 1000 // count(*))::INT AS permille FROM k GROUP BY id, s_id",
+    "unverified_support": f"{_HITS}, {_RANKED}, {_SUPPORT} SELECT * FROM sup",
     "ring_region_select": f"WITH {_G}, {_LOCAL}, f AS (SELECT id, ord, region, edge AS score FROM lf), a AS (SELECT *, 0 AS round FROM f QUALIFY row_number() OVER (PARTITION BY id, region ORDER BY score DESC, ord) = 1), u AS (SELECT * FROM a UNION ALL SELECT *, 1 FROM f) SELECT id, ord, region, round, row_number() OVER (PARTITION BY id ORDER BY round, score DESC, ord) AS place FROM u QUALIFY place <= 10",
 }
 ORACLE_SQL["cluster_promotion"] = f"""WITH RECURSIVE {plans.FP}, {plans.PAIRS}, m AS (SELECT id, s_id FROM pairs WHERE 100 - pd - dd >= 42), e0 AS (SELECT a, b FROM ({plans.ORACLE_SQL['coherence_edges']}) WHERE weight >= 50), e AS (SELECT a, b FROM e0 UNION ALL SELECT b, a FROM e0),
   r AS (SELECT id, s_id AS node, s_id AS root FROM m UNION SELECT r.id, x.s_id, r.root FROM r JOIN e ON r.node = e.a JOIN m x ON x.id = r.id AND x.s_id = e.b),
   c AS (SELECT id, root, count(*) AS n FROM r GROUP BY ALL), k AS (SELECT id, count(*)::INT AS members FROM m GROUP BY id) SELECT k.id, members, max(n)::INT AS largest, max(n) >= 2 AS promoted FROM k JOIN c USING (id) GROUP BY k.id, members"""
+
+_SH, _FS, _FC = FULL.shape, FULL.suspicious, FULL.confirmed
+_SHAPE = f"""tx AS (SELECT *, list_sum(grid)::BIGINT AS every, len(list_filter(grid, lambda v: v >= 64)) AS regions, list_sum(grid[17:48])::BIGINT AS mid,
+    list_sum(list_transform(range(64), lambda i: CASE WHEN i % 8 >= 2 AND i % 8 < 6 THEN grid[i + 1] ELSE 0 END))::BIGINT AS cen, list_sum(list_transform(range(64), lambda i: CASE WHEN i % 8 < 2 THEN grid[i + 1] ELSE 0 END))::BIGINT AS lef,
+    list_sum(list_transform(range(64), lambda i: CASE WHEN i % 8 >= 6 THEN grid[i + 1] ELSE 0 END))::BIGINT AS rig, grid[4] AS luma, grid[5] AS std, greatest(grid[1], grid[2], grid[3]) - least(grid[1], grid[2], grid[3]) AS rgb FROM fx),
+  ts AS (SELECT *, (every // 64)::INT AS mean, (mid * 100 // greatest(every, 1))::INT AS middle, (cen * 100 // greatest(every, 1))::INT AS center, (greatest(lef, rig) * 100 // greatest(every, 1))::INT AS edge FROM tx),
+  sg AS (SELECT *, regions >= {_SH.min_regions} AND mean >= {_SH.min_text} AS g1, std BETWEEN {_SH.min_std} AND {_SH.max_std} AS g2, luma BETWEEN {_SH.min_luma} AND {_SH.max_luma} AS g3, 8 >= {_SH.min_local} AS g4, luma <= {_SH.sparse_luma} AND mean <= {_SH.sparse_text} AND 8 >= {_SH.sparse_local} AS g5,
+    least(width, height) >= {_FS.min_short_edge} AND width * height >= {_FS.min_area} AND greatest(width, height)::FLOAT / least(width, height)::FLOAT <= {_FS.max_aspect}::FLOAT AND luma <= {_SH.max_luma} AND std <= {_SH.max_std} AND mean <= {_SH.max_text}
+      AND middle >= {_SH.min_middle} AND center BETWEEN {_SH.min_center} AND {_SH.max_center} AND edge <= {_SH.max_edge} AND rgb <= {_SH.max_rgb_spread} AS base FROM ts),
+  sp AS (SELECT id, mean, regions, middle, center, edge, CASE WHEN base AND (g1 OR g5) AND (g1::INT + g2::INT + g3::INT + g4::INT + g5::INT >= {_SH.min_signals} OR g5) THEN
+    least((least(greatest((CASE WHEN g1 THEN mean + regions * 8 ELSE 0 END + CASE WHEN g2 THEN std ELSE 0 END + CASE WHEN g3 THEN 40 ELSE 0 END + CASE WHEN g4 THEN 8 ELSE 0 END + CASE WHEN g5 THEN 128 ELSE 0 END)::FLOAT / {_SH.full}::FLOAT, 0::FLOAT), 1::FLOAT) * 100::FLOAT)::FLOAT, {_SH.cap}::FLOAT) END AS bonus FROM sg)"""
+ORACLE_SQL["visual_shape"] = f"WITH {plans.FP}, {_SHAPE} SELECT id, round(bonus::DOUBLE, 3) AS bonus, mean, regions::INT AS regions, middle, center, edge FROM sp"
+_up = lambda v, full: f"(least(greatest(({v})::FLOAT / {full}::FLOAT, 0::FLOAT), 1::FLOAT) * 100::FLOAT)::FLOAT"
+_LSCORE = f"((({_up('hits', _FS.full_hits)} * 0.5::FLOAT)::FLOAT + ({_up('regions', _FS.full_regions)} * 0.18::FLOAT)::FLOAT)::FLOAT + ({_up('spread', _FS.full_spread)} * 0.14::FLOAT)::FLOAT + (((1::FLOAT - least(greatest(mean_distance::FLOAT / {_FS.max_mean_distance}::FLOAT, 0::FLOAT), 1::FLOAT)) * 100::FLOAT) * 0.1::FLOAT)::FLOAT)::FLOAT"
+_asp = lambda p: f"(greatest({p}width, {p}height)::FLOAT / least({p}width, {p}height)::FLOAT)"
+ORACLE_SQL["cascade_unverified"] = f"""WITH RECURSIVE {plans.FP}, {plans.PAIRS}, {_HITS[5:]}, {_RANKED}, {_SUPPORT}, {_SHAPE},
+  ex AS (SELECT id, id + 1 AS s_id FROM fp WHERE id % 25 = 0 AND id + 1 IN (SELECT id FROM fp)), r1 AS (SELECT * FROM pairs WHERE id NOT IN (SELECT id FROM ex)),
+  e1 AS ({plans.sql_evidence(_FC, 0, 'r1')}), b1 AS ({plans.sql_best('e1')}), yes AS (SELECT id, s_id, score FROM b1 WHERE score >= {_FC.score}::FLOAT),
+  r2 AS (SELECT r1.*, bonus FROM r1 JOIN sp USING (id) WHERE id NOT IN (SELECT id FROM yes)),
+  pe AS (SELECT id, s_id, bonus, {plans.sql_stage(_FS)} AS st, ({plans.sql_stage(_FS)} * {_FS.perceptual_weight}::FLOAT)::FLOAT AS p FROM r2 WHERE ({plans.sql_near(_FS)} OR bonus IS NOT NULL AND {plans.sql_near(_FS, _FS.near_miss_slack)}) AND {plans.sql_geometry(_FS)}),
+  ae AS (SELECT id, s_id, bonus, {_LSCORE} AS st, ({_LSCORE} * {_FS.anchor_weight}::FLOAT)::FLOAT AS a FROM r2 JOIN sup USING (id, s_id) WHERE bonus IS NOT NULL AND hits >= {_FS.support_hits} AND regions >= {_FS.support_regions} AND mean_distance <= {_FS.support_mean} AND hits * 1000 >= {_FS.support_permille} * raw_hits AND pd + dd <= {_FS.support_total}
+    AND least(width, height) >= {_FS.min_short_edge} AND width * height >= {_FS.min_area} AND {_asp('')} <= {_FS.max_aspect}::FLOAT AND abs({_asp('s_')} - {_asp('')}) <= {_FS.support_aspect}::FLOAT AND abs(width::FLOAT / s_width::FLOAT - 1::FLOAT) <= {_FS.support_dimension}::FLOAT AND abs(height::FLOAT / s_height::FLOAT - 1::FLOAT) <= {_FS.support_dimension}::FLOAT),
+  sc AS (SELECT coalesce(pe.id, ae.id) AS id, coalesce(pe.s_id, ae.s_id) AS s_id, ((coalesce(pe.bonus, ae.bonus, 0::FLOAT) + coalesce(p, 0::FLOAT))::FLOAT + coalesce(a, 0::FLOAT))::FLOAT AS score, CASE WHEN ae.st IS NULL OR pe.st >= ae.st THEN 'perceptual' ELSE 'anchors' END AS top FROM pe FULL JOIN ae ON pe.id = ae.id AND pe.s_id = ae.s_id),
+  b2 AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, s_id DESC) = 1), m AS (SELECT id, s_id FROM sc WHERE round(score::DOUBLE) >= {FULL.cluster_member}),
+  e0 AS (SELECT a, b FROM ({plans.ORACLE_SQL['coherence_edges']}) WHERE weight >= {FULL.cluster_coherence} AND a % 5 <> 0 AND b % 5 <> 0), e AS (SELECT a, b FROM e0 UNION ALL SELECT b, a FROM e0),
+  cl AS (SELECT DISTINCT m.id FROM m JOIN e ON m.s_id = e.a JOIN m n ON n.id = m.id AND n.s_id = e.b)
+  SELECT id, s_id, 'confirmed' AS decision, 'exact' AS stage, 10000.0::DOUBLE AS score FROM ex UNION ALL SELECT id, s_id, 'confirmed', 'perceptual', round(score::DOUBLE, 2) FROM yes
+  UNION ALL SELECT id, s_id, 'suspicious', CASE WHEN id IN (SELECT id FROM cl) THEN 'cluster' ELSE top END, round(CASE WHEN id IN (SELECT id FROM cl) THEN greatest(score, {FULL.cluster_hard}::FLOAT) ELSE score END::DOUBLE, 2) FROM b2 WHERE score >= {_FS.score}::FLOAT OR id IN (SELECT id FROM cl)"""

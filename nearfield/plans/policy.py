@@ -36,6 +36,46 @@ class Threshold:
     aspect_delta: float = 0.45
     width_delta: float = 0.30
     height_delta: float = 0.30
+    visual_weight: float = 0.0
+    affine_extra_hits: int = 1
+    affine_extra_regions: int = 0
+    affine_residual: float = 22.0
+    homography_extra_hits: int = 2
+    homography_extra_regions: int = 1
+    homography_residual: float = 18.0
+    support_hits: int = 50
+    support_regions: int = 25
+    support_permille: int = 200
+    support_mean: float = 11.75
+    support_total: int = 51
+    support_aspect: float = 0.45
+    support_dimension: float = 0.55
+
+
+@dataclass(frozen=True)
+class Shape:
+    """Looks of the images in question: dark, of little colour, with text in the middle."""
+
+    min_luma: int = 30
+    max_luma: int = 92
+    min_std: int = 50
+    max_std: int = 80
+    min_text: int = 24
+    max_text: int = 170
+    min_regions: int = 34
+    min_middle: int = 35
+    min_center: int = 0
+    max_center: int = 78
+    max_edge: int = 46
+    max_rgb_spread: int = 34
+    min_local: int = 180
+    min_signals: int = 4
+    sparse_luma: int = 35
+    sparse_text: int = 110
+    sparse_local: int = 80
+    weight: float = 1.0
+    cap: float = 10.0
+    full: float = 300.0
 
 
 SUSPICIOUS = Threshold(score=20.0, dhash_max=15, total_max=30, near_miss_slack=6, min_hits=20, max_mean_distance=12.0, luma_delta=70, contrast_delta=65, edge_delta=75, position_delta=120, max_aspect=1.36, aspect_delta=0.35, width_delta=0.20, height_delta=0.20)
@@ -59,6 +99,8 @@ class Policy:
     cluster_member: int = 25
     cluster_coherence: int = 63
     cluster_min_size: int = 2
+    cluster_hard: int = 63
+    shape: Shape = field(default_factory=Shape)
 
     def problems(self) -> list[str]:
         """What a configuration check would refuse."""
