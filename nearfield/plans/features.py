@@ -59,7 +59,7 @@ _W = plans.WIDE
 FULL = replace(
     _W, confirmed=replace(_W.confirmed, score=66.0, min_hits=4, min_regions=2, max_mean_distance=23.0, full_hits=8, full_regions=8, full_spread=200.0),
     suspicious=replace(_W.suspicious, score=45.0, min_hits=3, min_regions=2, max_mean_distance=23.0, full_hits=8, full_regions=8, full_spread=200.0, support_hits=2, support_regions=2, support_mean=22.0, support_total=64),
-    cluster_member=42, shape=Shape(min_luma=60, max_luma=200, min_std=60, max_std=200, min_text=24, max_text=170, max_rgb_spread=120, min_local=1, min_signals=3, full=700.0),
+    cluster_member=72, cluster_coherence=70, shape=Shape(min_luma=60, max_luma=150, min_std=100, max_std=200, min_text=24, max_text=170, max_rgb_spread=70, min_local=1, min_signals=3, full=20_000.0),
 )
 
 
