@@ -42,7 +42,7 @@ MAX_LABELLED = 20_000
 BUCKETS = 1 << 16
 HIDDEN = 24
 _BLOCKS = 16, 4096  # ranges of word hashes, least and most; one more for each _BLOCK_BYTES of documents
-_BLOCK_BYTES = 16 << 20
+_BLOCK_BYTES = 8 << 20
 _HELD = 150_000  # words whose parts are added up at once
 _FLUSH = 400_000  # words a task holds before it passes them on
 _ROWS = 10_000
@@ -212,7 +212,7 @@ def learn_vectors(docs: DataFrame, min_docs: float = MIN_DOCS) -> Vectors:
             v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1)
             yield pa.RecordBatch.from_arrays([pa.array([int(h[lo] >> np.uint64(1))]), pa.array([hi - lo]), pa.array([h[lo:hi].tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], names=["first", "n", "h", "v"])
 
-    parts = d.mapInArrow(local, "block int, size bigint, part binary").repartition(blocks, "block")
+    parts = d.mapInArrow(local, "block int, size bigint, part binary").repartitionById(blocks, "block")  # by hash, some tasks would get several ranges
     pieces = common.materialise(parts.mapInArrow(add, "first bigint, n bigint, h binary, v binary"), "contexts")
     path, sent = _new_file(spark)
     groups: list[list[int]] = []
