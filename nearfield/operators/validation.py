@@ -11,8 +11,14 @@ from nearfield.functions import stats
 
 def folds(d: DataFrame, id_: str, n: int, seed: int) -> DataFrame:
     """A fold from 0 for every row: its place in a seeded shuffle, modulo n."""
-    w = Window.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_).cast("string"))), id_)
-    return d.withColumn("fold", ((F.row_number().over(w) - 1) % n).cast("int"))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_).cast("string")))
+    # places from counts of 4,096 ranges of the key, so that no task sees all rows
+    d = d.withColumns({"nf_key": key, "nf_range": F.conv(F.substring(key, 1, 3), 16, 10).cast("int")})
+    count = d.groupBy("nf_range").agg(F.count("*").alias("nf_n"))
+    before = count.withColumn("nf_before", F.coalesce(F.sum("nf_n").over(Window.orderBy("nf_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("nf_n")
+    within = F.row_number().over(Window.partitionBy("nf_range").orderBy("nf_key", id_))
+    placed = d.join(F.broadcast(before), "nf_range")  # 4,096 rows at most
+    return placed.withColumn("fold", ((F.col("nf_before") + within - 1) % n).cast("int")).drop("nf_key", "nf_range", "nf_before")
 
 
 def splitmix_shuffle(n: int, seed: int) -> list[int]:
@@ -70,3 +76,18 @@ def gates(d: DataFrame, max_fp: int = 0, min_precision: float = 0.99, min_specif
 def subset_violations(tier1: DataFrame, full: DataFrame, key: str) -> DataFrame:
     """Keys that the first tier confirms and the full policy doesn't: has to be empty."""
     return tier1.select(key).subtract(full.select(key))
+
+
+def variant_coverage(d: DataFrame, source: str, decision: str) -> DataFrame:
+    """variant, hard, soft, unmatched and n: the variant is what stands between "__" and the extension of a source."""
+    name = F.regexp_replace(F.col(source), r"\.[^.]*$", "")
+    variant = F.when(name.contains("__"), F.regexp_extract(name, "__(.*)$", 1)).otherwise("original")
+    c = F.col(decision)
+    return d.groupBy(variant.alias("variant")).agg(F.count_if(c == "confirmed").alias("hard"), F.count_if(c == "suspicious").alias("soft"), F.count_if(c.isNull()).alias("unmatched"), F.count("*").alias("n"))
+
+
+def metric_gates(d: DataFrame, run: str, min_precision: float, min_specificity: float) -> DataFrame:
+    """gate, value, least and passed for the precision and the specificity of one row of metrics; null fails."""
+    rows = [F.struct(F.lit(f"{run}_{k}").alias("gate"), F.col(c).cast("double").alias("value"), F.lit(least).alias("least")) for k, c, least in (("precision", "precision_", min_precision), ("specificity", "specificity", min_specificity))]
+    g = d.select(F.explode(F.array(*rows)).alias("g")).select("g.*")
+    return g.withColumn("passed", F.coalesce(F.col("value") >= F.col("least"), F.lit(False)))

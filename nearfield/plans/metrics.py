@@ -38,9 +38,15 @@ def perf_snapshot(spark, sf):
 def percentiles_4ways(spark, sf):
     from nearfield.functions import stats
 
-    v = _events(spark, sf).groupBy("event_type").agg(F.sort_array(F.collect_list("us")).alias("v"))
-    c = F.col("v")
-    return v.select("event_type", stats.rank_round(c, 0.95).alias("round_"), stats.rank_ceil(c, 95).alias("ceil_"), stats.rank_half_up(c, 95, 100).alias("half_up"), stats.rank_quarter(c, 3).alias("quarter"))
+    ranks = {"round_": lambda n: F.floor((n - 1) * F.lit(0.95) + 0.5), "ceil_": lambda n: F.ceil((n - 1) * 95 / 100), "half_up": lambda n: F.floor(((n - 1) * 95 + 50) / 100), "quarter": lambda n: F.floor(n * 3 / 4)}
+    return stats.counted_ranks(_events(spark, sf), ["event_type"], "us", ranks)
+
+
+def benchmark_stats(spark, sf):
+    """Durations by kind of event, as a benchmark reports its steps."""
+    from nearfield.functions import stats
+
+    return stats.duration_stats(_events(spark, sf).filter("us > 0"), ["event_type"], "us")
 
 
 def period_report(spark, sf):
@@ -123,7 +129,7 @@ def stream_append_new(spark, sf):
     return streams.append_sink(spark, f"{sf}/events.parquet")
 
 
-QUERIES = {f.__name__: f for f in (metric_counters, timing_ring, class_breakdown, perf_snapshot, percentiles_4ways, period_report, rollup_report, replay_newest_wins, latest_config, log_recovery, bounded_dedup, lru_dedup, decision_memo, sibling_escalation, last_rows_frame, stride_sample, budget_prefix, best_step, stream_counts, stream_dedup, stream_siblings, stream_append_new)}
+QUERIES = {f.__name__: f for f in (metric_counters, timing_ring, class_breakdown, perf_snapshot, percentiles_4ways, period_report, rollup_report, benchmark_stats, replay_newest_wins, latest_config, log_recovery, bounded_dedup, lru_dedup, decision_memo, sibling_escalation, last_rows_frame, stride_sample, budget_prefix, best_step, stream_counts, stream_dedup, stream_siblings, stream_append_new)}
 
 _E = "e AS (SELECT event_id, ts, user_id, event_type, user_id % 10 AS guild, floor(value * 1000)::BIGINT AS us FROM events)"
 
@@ -143,6 +149,7 @@ ORACLE_SQL = {
     "class_breakdown": _timing("guild, event_type", 128),
     "perf_snapshot": f"""WITH {_E}, n AS (SELECT guild, count(*) FILTER (WHERE event_type <> 'error') AS successes, count(*) FILTER (WHERE event_type = 'error') AS failures FROM e GROUP BY guild), r AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY guild ORDER BY ts DESC, event_id DESC) <= 512),
       v AS (SELECT guild, list_sort(list(us)) AS v FROM r GROUP BY guild) SELECT guild, successes, failures, v[1] AS least, v[len(v)] AS most, floor(list_sum(v) / len(v))::BIGINT AS average, {', '.join(f'v[floor((len(v) - 1) * {q / 100}::DOUBLE + 0.5)::INT + 1] AS p{q}' for q in (50, 90, 95, 99))} FROM n JOIN v USING (guild)""",
+    "benchmark_stats": f"WITH {_E}, v AS (SELECT event_type, list_sort(list(us)) AS v FROM e WHERE us > 0 GROUP BY 1) SELECT event_type, len(v) AS count, v[1] AS min, v[len(v)] AS max, round(list_sum(v)::DOUBLE / len(v), 6) AS avg, {', '.join(f'v[floor((len(v) - 1) * {p / 100}::DOUBLE + 0.5)::INT + 1] AS p{p}' for p in (50, 90, 95, 99))} FROM v",
     "percentiles_4ways": f"WITH {_E}, v AS (SELECT event_type, list_sort(list(us)) AS v FROM e GROUP BY 1) SELECT event_type, v[floor((len(v) - 1) * 0.95::DOUBLE + 0.5)::INT + 1] AS round_, v[ceil((len(v) - 1) * 95 / 100.0::DOUBLE)::INT + 1] AS ceil_, v[((len(v) - 1) * 95 + 50) // 100 + 1] AS half_up, v[len(v) * 3 // 4 + 1] AS quarter FROM v",
     "period_report": f"WITH {_E} {_PERIOD}",
     "rollup_report": f"WITH {_E} SELECT guild, ts::DATE AS day, count(*) AS n FROM e GROUP BY GROUPING SETS ((guild, day), (guild))",

@@ -69,6 +69,19 @@ def media_flatten(spark, sf):
     return records.flatten_media(d, "page_id", "urls", 4)
 
 
+def nested_media(spark, sf):
+    """Messages made of pages: two attachments, an embed with image and thumbnail, and a snapshot that repeats one of them."""
+    p = F.col("page_id")
+    url = lambda host, name: F.concat(F.lit(f"https://{host}/"), p.cast("string"), F.lit(f"/{name}"))
+    att = lambda u, mime, size, w: F.struct(u.alias("url"), mime.cast("string").alias("content_type"), size.cast("bigint").alias("size"), w.cast("int").alias("width"), w.cast("int").alias("height"))
+    pic = lambda u: F.struct(u.alias("url"), F.lit(5).alias("width"), F.lit(6).alias("height"))
+    one, two = att(url("cdn.example.com", "a.png"), F.lit(None), p * 100, F.lit(None)), att(url("cdn.example.com", "b"), F.when(p % 3 == 0, "image/webp").otherwise("text/plain"), F.lit(1), F.when(p % 2 == 0, 7))
+    embed = F.struct(pic(url("media.example.com", "c.jpeg")).alias("image"), pic(F.when(p % 4 == 0, url("evil.example.org", "d.png")).otherwise(url("cdn.example.com", "d.txt"))).alias("thumbnail"))
+    snap = F.struct(F.array(one, att(url("cdn.example.com", "e.gif"), F.lit("image/gif"), F.lit(2), F.lit(3))).alias("attachments"), F.array(embed).alias("embeds"))
+    d = load(spark, sf, "pages").select("page_id", F.array(one, two).alias("attachments"), F.array(embed).alias("embeds"), F.when(p % 5 != 0, F.array(snap)).alias("snapshots"))
+    return records.media_of(d, "page_id", 3, ["cdn.example.com", "media.example.com"], ["png", "jpg", "gif"], 100_000)
+
+
 def record_validation(spark, sf):
     """Fingerprint records, some of which are spoilt, each in one way or two."""
     id_, spoilt = F.col("id"), lambda k: F.col("id") % k == 1
@@ -150,7 +163,7 @@ def retry_delays(spark, sf):
     return load(spark, sf, "nation").select("n_nationkey", media.retry_delay_ms(F.col("n_nationkey"), 100, 5000).alias("delay_ms"))
 
 
-QUERIES = {f.__name__: f for f in (text_normalize, keyword_limits, text_gate_verdict, fuzzy_phrase, two_phase_decision, pattern_union, url_policy, extension_allowlist, media_flatten, record_validation, exemption_filter, metadata_rejection, preview_route, specimen_ids, jsonl_export, audit_rows, action_intents, import_outcomes, percent_labels, safe_names, hmac_verify, base64url_codec, retry_delays)}
+QUERIES = {f.__name__: f for f in (text_normalize, keyword_limits, text_gate_verdict, fuzzy_phrase, two_phase_decision, pattern_union, url_policy, extension_allowlist, media_flatten, nested_media, record_validation, exemption_filter, metadata_rejection, preview_route, specimen_ids, jsonl_export, audit_rows, action_intents, import_outcomes, percent_labels, safe_names, hmac_verify, base64url_codec, retry_delays)}
 
 _N = r"trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 _T = "CASE WHEN " + _N + " = '' THEN [] ELSE string_split(" + _N + ", ' ') END"
@@ -190,6 +203,12 @@ ORACLE_SQL = {
     "url_policy": f"WITH h AS (SELECT page_id, url, {_HOST} AS host FROM pages) SELECT page_id, host, url LIKE 'https://%' AND ({' OR '.join(f'host = {s!r} OR host LIKE {chr(37) + "." + s!r}' for s in HOSTS)}) AS allowed FROM h".replace("%'.", "%."),
     "extension_allowlist": "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'jpg' WHEN 1 THEN 'png' WHEN 2 THEN 'gif' WHEN 3 THEN 'txt' ELSE 'webp' END AS ext, page_id % 5 IN (0, 1, 4) AS allowed FROM pages",
     "media_flatten": "WITH a AS (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) AS l FROM pages), u AS (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM a), f AS (SELECT page_id, l[i] AS url, min(i) AS i FROM u GROUP BY ALL), r AS (SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY i) AS idx FROM f QUALIFY idx <= 4) SELECT page_id, url, (idx - 1)::INT AS idx, count(*) OVER (PARTITION BY page_id) AS total FROM r",
+    "nested_media": """WITH u AS (SELECT page_id, 'https://cdn.example.com/' || page_id || '/' AS c, 'https://media.example.com/' || page_id || '/' AS m FROM pages),
+      v AS (SELECT page_id, 0 AS i, c || 'a.png' AS url, 'attachment' AS kind, 'image/png' AS mime, (page_id * 100)::BIGINT AS size, NULL::INT AS width, NULL::INT AS height FROM u WHERE page_id * 100 <= 100000
+        UNION ALL SELECT page_id, 1, c || 'b', 'attachment', 'image/webp', 1, CASE WHEN page_id % 2 = 0 THEN 7 END, CASE WHEN page_id % 2 = 0 THEN 7 END FROM u WHERE page_id % 3 = 0
+        UNION ALL SELECT page_id, 2, m || 'c.jpeg', 'embed_image', 'image/jpeg', NULL, 5, 6 FROM u
+        UNION ALL SELECT page_id, 5, c || 'e.gif', 'attachment', 'image/gif', 2, 3, 3 FROM u WHERE page_id % 5 <> 0),
+      r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) AS n FROM v QUALIFY n <= 3) SELECT page_id, url, kind, mime, size, width, height, (n - 1)::INT AS idx, count(*) OVER (PARTITION BY page_id) AS total FROM r""",
     "record_validation": """WITH d AS (SELECT vec_id AS id FROM embeddings) SELECT id, CASE WHEN id % 17 = 1 THEN 'width' WHEN id % 29 = 1 THEN 'height' WHEN id % 7 = 1 THEN 'byte_hash' WHEN id % 11 = 1 THEN 'phash64' WHEN id % 13 = 1 THEN 'rgb_mean'
       WHEN id % 19 = 1 THEN 'grid_luma' WHEN id % 3 <> 0 AND id % 23 = 1 THEN 'text_grid' WHEN id % 31 = 1 THEN 'anchor_hash' WHEN id % 66 >= 64 THEN 'anchor_region' WHEN id % 37 = 1 THEN 'anchor_size' WHEN id % 65 >= 64 THEN 'feature_region' WHEN id % 41 < 1 THEN 'feature_scale' END AS problem FROM d WHERE problem IS NOT NULL""",
     "hmac_verify": f"""WITH n AS (SELECT n_nationkey, n_name AS message, CASE WHEN n_nationkey % 4 = 0 THEN 'x' ELSE n_name END AS claimed FROM nation),

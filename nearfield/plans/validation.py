@@ -91,10 +91,28 @@ def transform_coverage(spark, sf):
     return d.groupBy("label").agg(F.count_if(F.col("decision") == "confirmed").alias("hard"), F.count_if(F.col("decision") == "suspicious").alias("soft"), F.count_if(F.col("decision").isNull()).alias("unmatched"))
 
 
+def variant_coverage(spark, sf):
+    """By variant (what follows "__" in a source's name, "original" without): how many are hard, soft and unmatched."""
+    c = matching.cascade(plans.pairs(spark, sf), WIDE).select("id", "decision")
+    kind = F.element_at(F.array(*map(F.lit, ("", "__rotate-5", "__crop-90", "__jpeg-40"))), (F.col("id") % 4 + 1).cast("int"))
+    d = _fp(spark, sf).filter("id % 5 = 0").select("id", F.concat(F.lit("img"), F.col("id").cast("string"), kind, F.lit(".png")).alias("source"))
+    return validation.variant_coverage(d.join(c, "id", "left"), "source", "decision")
+
+
+def gate_results(spark, sf):
+    """The gates of folds and of leaving one out: metric, value, limit and whether it passed."""
+    fold = _confusion_sum(kfold_confusion(spark, sf))
+    return validation.metric_gates(fold, "kfold", 0.6, 0.9).unionByName(validation.metric_gates(leave_one_out(spark, sf), "leave_one_out", 0.6, 0.9))
+
+
+def _confusion_sum(d):
+    return validation.with_metrics(d.agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "tn", "fn")]))
+
+
 def case_features(spark, sf):
     """By label: quartiles of the distance to the nearest specimen."""
-    d = plans.pairs(spark, sf).groupBy("id", "label").agg(F.min(F.col("pd") + F.col("dd")).alias("t")).groupBy("label").agg(F.sort_array(F.collect_list("t")).alias("v"))
-    return d.select("label", *[stats.rank_quarter(F.col("v"), k).alias(f"q{k}") for k in (1, 2, 3)])
+    d = plans.pairs(spark, sf).groupBy("id", "label").agg(F.min(F.col("pd") + F.col("dd")).alias("t"))
+    return stats.counted_ranks(d, ["label"], "t", {f"q{k}": (lambda n, k=k: F.floor(n * k / 4)) for k in (1, 2, 3)})
 
 
 def score_table(spark, sf):
@@ -105,7 +123,7 @@ def score_table(spark, sf):
     return d.select("total", F.round(s.cast("double"), 3).alias("score"), (s >= scores.f32(t.score)).alias("confirmed"))
 
 
-QUERIES = {f.__name__: f for f in (kfold_confusion, leave_one_out, threshold_sweep, quality_gates, tier1_subset, prediction_sets, transform_coverage, case_features, score_table)}
+QUERIES = {f.__name__: f for f in (kfold_confusion, leave_one_out, threshold_sweep, quality_gates, tier1_subset, prediction_sets, transform_coverage, variant_coverage, gate_results, case_features, score_table)}
 
 _HITS = f"""{plans.FP}, pos AS (SELECT *, ((row_number() OVER (ORDER BY md5('{SEED}:' || id), id) - 1) % 5)::INT AS fold FROM fx WHERE label < 5), neg AS (SELECT *, NULL::INT AS fold FROM fx WHERE label >= 5),
   cand AS (SELECT * FROM pos UNION ALL SELECT * FROM neg), h0 AS (SELECT c.id, c.fold AS id_fold, s.id AS s_id, s.fold AS s_fold, c.label >= 5 AS negative, {plans.HAM.format('c', 's')} FROM cand c JOIN pos s ON c.id <> s.id),
@@ -133,3 +151,6 @@ ORACLE_SQL = {
     "case_features": f"WITH {plans.FP}, {plans.PAIRS}, t AS (SELECT id, label, min(pd + dd) AS t FROM pairs GROUP BY ALL), v AS (SELECT label, list_sort(list(t)) AS v FROM t GROUP BY label) SELECT label, {', '.join(f'v[least(len(v) * {k} // 4, len(v) - 1) + 1] AS q{k}' for k in (1, 2, 3))} FROM v",
     "score_table": "WITH t AS (SELECT unnest(range(0, 27)) AS total), s AS (SELECT total, ((35::FLOAT + (1::FLOAT - least(greatest(total::FLOAT / 26::FLOAT, 0::FLOAT), 1::FLOAT)) * (100::FLOAT - 35::FLOAT))::FLOAT * 1.8::FLOAT)::FLOAT AS s FROM t) SELECT total, round(s::DOUBLE, 3) AS score, s >= 63::FLOAT AS confirmed FROM s",
 }
+ORACLE_SQL["variant_coverage"] = f"WITH c AS ({_CASCADE}), v AS (SELECT vec_id AS id, CASE vec_id % 4 WHEN 0 THEN 'original' WHEN 1 THEN 'rotate-5' WHEN 2 THEN 'crop-90' ELSE 'jpeg-40' END AS variant FROM embeddings WHERE vec_id % 5 = 0) SELECT variant, count(*) FILTER (WHERE decision = 'confirmed') AS hard, count(*) FILTER (WHERE decision = 'suspicious') AS soft, count(*) FILTER (WHERE decision IS NULL) AS unmatched, count(*) AS n FROM v LEFT JOIN c USING (id) GROUP BY variant"
+ORACLE_SQL["gate_results"] = f"""WITH k AS ({ORACLE_SQL["kfold_confusion"]}), s AS (SELECT 'kfold' AS run, sum(tp) AS tp, sum(fp) AS fp, sum(tn) AS tn FROM k UNION ALL SELECT 'leave_one_out', tp, fp, tn FROM ({ORACLE_SQL["leave_one_out"]})),
+  m AS (SELECT run || '_precision' AS gate, round(tp / nullif(tp + fp, 0), 6) AS value, 0.6::DOUBLE AS least FROM s UNION ALL SELECT run || '_specificity', round(tn / nullif(tn + fp, 0), 6), 0.9::DOUBLE FROM s) SELECT *, coalesce(value >= least, false) AS passed FROM m"""

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from nearfield.functions import media
+
 FINGERPRINT = """schema int, source_path string, fingerprint struct<width: int, height: int, mime: string, byte_hash: string, phash64: string, dhash64: string,
   visual: struct<luma_mean: int, luma_std: int, rgb_mean: array<int>, grid_luma: array<int>, text_grid: array<int>>,
   local_anchors: array<struct<id: string, x: int, y: int, w: int, h: int, pos_x: int, pos_y: int, hash: string, hash2: string, luma_mean: int, luma_std: int, edge_density: int, kind: string, region: int, max_distance: int>>,
@@ -60,6 +62,43 @@ def flatten_media(d: DataFrame, id_: str, urls: str, most: int) -> DataFrame:
     return r.select(id_, "url", (F.col("idx") - 1).alias("idx"), F.count("*").over(Window.partitionBy(id_)).alias("total"))
 
 
+MESSAGE = """attachments array<struct<url: string, content_type: string, size: bigint, width: int, height: int>>,
+  embeds array<struct<image: struct<url: string, width: int, height: int>, thumbnail: struct<url: string, width: int, height: int>>>,
+  snapshots array<struct<attachments: array<struct<url: string, content_type: string, size: bigint, width: int, height: int>>,
+    embeds: array<struct<image: struct<url: string, width: int, height: int>, thumbnail: struct<url: string, width: int, height: int>>>>>"""
+
+
+def media_of(d: DataFrame, id_: str, most: int, hosts: list[str], extensions: list[str], max_bytes: int) -> DataFrame:
+    """A row for each image of each message (columns as in MESSAGE): attachments, then images and thumbnails of embeds, then
+    the same of each snapshot; urls on exact hosts, of allowed extensions (or, for attachments, such a type), attachments
+    within the size and either an image by type or with both dimensions. Equal urls count once, the first; most a
+    message. url, kind, mime, size, width, height, idx (from 0) and total."""
+    item = lambda u, kind, mime, size, w, h: F.struct(u.alias("url"), F.lit(kind).alias("kind"), mime.alias("mime"), size.alias("size"), w.alias("width"), h.alias("height"))
+    none = F.lit(None)
+    hint = lambda u: F.when(media.extension(u).isin(*media.IMAGE_TYPES), F.concat(F.lit("image/"), F.when(media.extension(u) == "jpg", "jpeg").otherwise(media.extension(u))))
+    on_host = lambda u: F.coalesce(u.startswith("https://") & media.host(u).isin(*hosts), F.lit(False))
+
+    def attached(a: Column) -> Column:
+        return item(a["url"], "attachment", F.coalesce(a["content_type"], hint(a["url"])), a["size"], a["width"], a["height"])
+
+    def embedded(e: Column) -> Column:
+        one = lambda k: item(e[k]["url"], f"embed_{k}", hint(e[k]["url"]), none.cast("bigint"), e[k]["width"], e[k]["height"])
+        return F.array(one("image"), one("thumbnail"))
+
+    def both(a: Column, e: Column) -> Column:
+        return F.concat(F.coalesce(F.transform(a, attached), F.array()), F.coalesce(F.flatten(F.transform(e, embedded)), F.array()))
+
+    every = F.concat(both(F.col("attachments"), F.col("embeds")), F.coalesce(F.flatten(F.transform("snapshots", lambda s: both(s["attachments"], s["embeds"]))), F.array()))
+    e = d.select(id_, F.posexplode(every).alias("i", "m")).select(id_, "i", "m.*").filter(F.col("url").isNotNull())
+    known = media.extension_allowed(media.extension(F.col("url")), extensions)
+    image = F.coalesce(F.col("mime").startswith("image/"), F.lit(False))
+    as_attached = (F.coalesce(F.col("size"), F.lit(0)) <= max_bytes) & (known | image) & (image | (F.col("width").isNotNull() & F.col("height").isNotNull()))
+    ok = e.filter(on_host(F.col("url")) & F.when(F.col("kind") == "attachment", as_attached).otherwise(known))
+    first = ok.groupBy(id_, "url").agg(F.min_by(F.struct("i", "kind", "mime", "size", "width", "height"), "i").alias("f")).select(id_, "url", "f.*")
+    r = first.withColumn("idx", F.row_number().over(Window.partitionBy(id_).orderBy("i"))).filter(F.col("idx") <= most)
+    return r.select(id_, "url", "kind", "mime", "size", "width", "height", (F.col("idx") - 1).alias("idx"), F.count("*").over(Window.partitionBy(id_)).alias("total"))
+
+
 def replay(log: DataFrame, key: str, order: list[str], deleted: Column) -> DataFrame:
     """Latest row of each key, by order; keys whose latest row deletes are gone. Ties are settled by the whole order."""
     w = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
