@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from nearfield import catalogue
 from nearfield.functions import bits, media, scores, stats, text
-from nearfield.operators import gate, geometry, graph, local, matching, metrics, pixels, validation
-from nearfield.plans.policy import Policy, TextGate
+from nearfield.operators import cascade, gate, geometry, graph, local, matching, metrics, pixels, validation
+from nearfield.plans.policy import Policy, Shape, TextGate
 from nearfield.sources import records
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -242,6 +242,120 @@ def test_policy_checks():
     assert len(replace(p, confirmed=replace(p.confirmed, total_max=99, max_aspect=0.5)).problems()) == 2
 
 
+def test_labels_are_cut_not_rounded(spark):
+    r = one(spark, *[text.percent_label(F.lit(a), F.lit(b)) for a, b in ((2, 3), (1, 3), (0, 0), (5, 5), (999, 1000), (1, 1001))])
+    assert list(r) == ["66.6%", "33.3%", "0.0%", "100.0%", "99.9%", "0.0%"]
+
+
+def test_an_export_beyond_its_cap_is_refused(spark):
+    d = spark.createDataFrame([(1, "a"), (2, "bb")], "k int, v string")
+    whole = len('{"k":1,"v":"a"}') + len('{"k":2,"v":"bb"}') + 2
+    assert [tuple(r) for r in records.capped_export(d, "k", whole).orderBy("k").collect()] == [(1, '{"k":1,"v":"a"}', False), (2, '{"k":2,"v":"bb"}', False)]
+    assert [tuple(r) for r in records.capped_export(d, "k", whole - 1).collect()] == [(None, None, True)]
+    assert records.capped_export(d.limit(0), "k", 5).count() == 0
+
+
+def test_runner_up_is_the_least_among_the_others(spark):
+    d = spark.createDataFrame([(1, 2, 0, k, dist, dist * 4) for k, dist in enumerate((3, 5, 9, 11))], "id int, s_id int, s_ord int, ord int, distance int, quality int")
+    assert [(r["rank"], r["second"]) for r in local.top_distinct(d).orderBy("rank").collect()] == [(1, 5), (2, 3), (3, 3)]
+    assert local.top_distinct(d.limit(1)).first()["second"] is None
+
+
+def test_near_pairs_of_one_content_are_none(spark):
+    d = spark.createDataFrame([(1, 0, 0, "x"), (2, 1, 0, "x"), (3, 3, 0, "y")], "id long, ph long, dh long, c string")
+    assert {(r["id_a"], r["id_b"]) for r in matching.near_pairs(d, 4, 4, "c").collect()} == {(1, 3), (2, 3)}
+
+
+def test_flipped_segments_find_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    a = rng.integers(-(2**63), 2**63 - 1, 120)
+    b = np.concatenate([a ^ (sum(1 << int(i) for i in rng.permutation(63)[:k])) for k in range(0, 20)])
+    left, right = (spark.createDataFrame([(i, int(x)) for i, x in enumerate(v)], "id long, ph long") for v in (a, b))
+    for width, most in ((4, 15), (8, 15), (16, 15), (8, 7), (None, 12)):
+        got = [(r["id"], r["s_id"]) for r in matching.segment_pairs(left, right, "ph", most, width).collect()]
+        want = {(j, i) for i, x in enumerate(a) for j, y in enumerate(b) if int(x ^ y).bit_count() <= most or int(np.uint64(x ^ y)).bit_count() <= most}
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_fuzzy_phrases(spark):
+    cases = [("please connect your wallet now", True), ("please conect your walet now", True), ("connect your", False), ("xconnect your wallet", True), ("cxnnxct yxur wallet", False), ("", False)]
+    d = spark.createDataFrame(cases, "t string, want boolean")
+    assert d.filter(text.contains_phrase(F.col("t"), "connect your wallet", 2) != F.col("want")).count() == 0
+    assert d.filter(text.contains_phrase(F.col("t"), "connect your wallet", 0)).count() == 1
+
+
+def _pairs(spark, rows):
+    """id, s_id, pd, dd of 1000 x 1200 images; bonus null without the shape."""
+    d = spark.createDataFrame(rows, "id long, s_id long, pd int, dd int, bonus float")
+    return d.withColumns({c: F.lit(v) for c, v in (("width", 1000), ("height", 1200), ("s_width", 1000), ("s_height", 1200))})
+
+
+NO_EXACT, NO_EDGES = "candidate long, specimen long", "a long, b long, weight int"
+
+
+def test_full_cascade_cases(spark):
+    none = spark.createDataFrame([], NO_EXACT), spark.createDataFrame([], NO_EDGES)
+    p = _pairs(spark, [(1, 9, 40, 40, None), (2, 9, 6, 8, None), (3, 9, 15, 15, None), (4, 9, 19, 15, None), (5, 9, 19, 15, 10.0), (6, 9, 60, 60, 10.0)])
+    exact = spark.createDataFrame([(1, 9)], NO_EXACT)
+    got = {r["id"]: r for r in cascade.decide(exact, p, Policy(), none[1]).collect()}
+    assert (got[1]["decision"], got[1]["stage"]) == ("confirmed", "exact") and (got[2]["decision"], round(got[2]["score"], 1)) == ("confirmed", 117.0)
+    assert got[3]["decision"] == "suspicious" and round(got[3]["score"], 1) == 63.0  # total 30: the floor, 35, times 1.8
+    assert 4 not in got and got[5]["decision"] == "suspicious" and round(got[5]["score"], 1) == 73.0  # a near miss needs the shape
+    assert 6 not in got  # the shape alone is no match
+
+
+def test_clusters_promote_weak_matches(spark):
+    from dataclasses import replace
+
+    policy = Policy()
+    weak = replace(policy, suspicious=replace(policy.suspicious, perceptual_weight=1.0, score=90.0))
+    p = _pairs(spark, [(1, 7, 15, 15, None), (1, 8, 15, 14, None), (2, 7, 15, 15, None), (2, 9, 15, 14, None)])
+    edges = spark.createDataFrame([(7, 8, 100), (7, 9, 10)], NO_EDGES)
+    got = cascade.decide(spark.createDataFrame([], NO_EXACT), p, weak, edges).collect()
+    assert [(r["id"], r["s_id"], r["stage"], round(r["score"])) for r in got] == [(1, 8, "cluster", 63)]
+
+
+VERIFIED = "id long, s_id long, model string, inliers int, regions int, spread double, residual double, mean_distance double"
+
+
+def test_geometry_is_accepted_by_model(spark):
+    t = Policy().confirmed
+    rows = [(1, 9, "similarity", 80, 10, 216.0, 24.0, 7.0), (2, 9, "affine", 80, 10, 216.0, 20.0, 7.0), (3, 9, "affine", 81, 10, 216.0, 22.0, 7.0), (4, 9, "affine", 81, 10, 216.0, 22.5, 7.0), (5, 9, "homography", 82, 11, 216.0, 18.0, 7.0), (6, 9, "homography", 82, 10, 216.0, 18.0, 7.0), (7, 9, "similarity", 80, 10, 215.0, 1.0, 7.0), (8, 9, "similarity", 80, 10, 900.0, 1.0, 7.5)]
+    assert {r["id"] for r in cascade.accepted(spark.createDataFrame(rows, VERIFIED), t).collect()} == {1, 3, 5}
+
+
+def test_local_anchors_confirm_what_hashes_miss(spark):
+    p = _pairs(spark, [(1, 9, 40, 40, None), (2, 9, 40, 40, None)])
+    v = spark.createDataFrame([(1, 9, "similarity", 500, 14, 700.0, 0.0, 0.0), (2, 9, "similarity", 80, 10, 216.0, 20.0, 6.0)], VERIFIED)
+    args = spark.createDataFrame([], NO_EXACT), p, Policy(), spark.createDataFrame([], NO_EDGES)
+    got = {r["id"]: (r["decision"], r["stage"], round(r["score"], 1)) for r in cascade.decide(*args, v).collect()}
+    assert got[1] == ("confirmed", "anchors", 220.0) and got[2] == ("suspicious", "anchors", 69.3)
+
+
+def test_unverified_support_needs_the_shape(spark):
+    t = Policy().suspicious
+    s = spark.createDataFrame([(k, 9, 100, 50, 25, 11.0, 300) for k in (1, 2, 3)], "id long, s_id long, raw_hits long, hits long, regions long, mean_distance double, spread int")
+    p = _pairs(spark, [(1, 9, 25, 26, 5.0), (2, 9, 25, 26, None), (3, 9, 26, 26, 5.0)])
+    assert [r["id"] for r in cascade.supported(s, p, t).collect()] == [1]
+    assert cascade.supported(s.withColumn("raw_hits", F.lit(251)), p, t).count() == 0
+
+
+def test_visual_shape(spark):
+    dark = (1, 60, 60, [60, 61, 62], [80] * 64, 200, 800, 1000)
+    d = spark.createDataFrame([dark, (2, 93, *dark[2:]), (3, 60, 60, [60, 61, 95], *dark[4:]), (4, *dark[1:6], 500, 1000)], "id int, luma int, contrast int, rgb array<int>, grid array<int>, n_local int, width int, height int")
+    got = {r["id"]: r["bonus"] for r in cascade.with_shape(d, Shape(), Policy().suspicious).collect()}
+    assert got == {1: 10.0, 2: None, 3: None, 4: None}  # 80 + 64 * 8 + 60 + 40 + 200 of 300 is beyond the cap
+    t = d.filter("id = 1").select(cascade.text_stats(F.col("grid")).alias("t")).first()["t"]
+    assert tuple(t) == (80, 64, 50, 50, 25)
+
+
+def test_corners_count_the_threshold_and_all_of_the_ring(spark):
+    img = np.full((15, 15), 100)
+    for dx, dy in pixels._RING[:9]:
+        img[7 + dy, 7 + dx] = 116  # exactly the threshold
+    assert (7, 7, 9 * 16) in pixels.corners(img, apart=1)
+
+
 @pytest.fixture(scope="session")
 def duck(sf):
     con = duckdb.connect()
