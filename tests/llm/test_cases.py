@@ -151,6 +151,42 @@ def test_hot_routes_are_split_without_loss(spark):
     assert routed.groupBy("route").count().agg(F.max("count")).first()[0] <= 2 * 60 and shards > 10
 
 
+@pytest.mark.parametrize("flips", [(2, 4), (6, 25), (9, 45), (3, 110)])
+def test_tiles_are_compared_as_by_brute_force(flips):
+    rng = np.random.default_rng(sum(flips))
+    word = lambda k: rng.integers(0, 1 << 63, k, dtype=np.int64).view(np.uint64)
+    sim = np.concatenate([noisy(rng, word(2), 150, flips[0]), *(noisy(rng, word(2), 2, flips[0]) for _ in range(60))])
+    pairs = np.concatenate([noisy(rng, word(4), 150, flips[1]), *(noisy(rng, word(4), 2, flips[1]) for _ in range(60))])
+    order = rng.permutation(270)
+    sim, pairs = sim[order], pairs[order]
+    for side in (np.zeros(270, np.int32), rng.integers(0, 2, 270).astype(np.int32)):
+        near = (np.bitwise_count(sim[:, None] ^ sim[None]).sum(2, dtype=int) <= neardup.RADIUS) & (np.bitwise_count(pairs[:, None] ^ pairs[None]).sum(2, dtype=int) <= neardup.VERIFY)
+        if side.any():
+            near &= side[:, None] != side[None]
+        want = np.arange(270)
+        while (want != (new := np.array([min(want[i], want[near[i]].min(initial=270)) for i in range(270)]))).any():
+            want = new
+        a, b = neardup.tile_edges(np.arange(270), side, sim, pairs, params())
+        got = np.arange(270)
+        got[a] = b
+        assert (got == want).all() and len(a) >= 60 * (flips[1] < 100 and not side.any())
+
+
+def test_pairs_that_share_a_hot_route_alone_are_found(spark):
+    rng = np.random.default_rng(35)
+    n = 400
+    sim, pairs = rng.integers(0, 1 << 63, (n, 2), dtype=np.int64).view(np.uint64), rng.integers(0, 1 << 63, (n, 4), dtype=np.int64).view(np.uint64)
+    for k in range(0, n, 2):
+        sim[k + 1], pairs[k + 1] = noisy(rng, sim[k], 1, 6)[0], noisy(rng, pairs[k], 1, 20)[0]
+    # all share the first route, and no two anything else
+    routes = [[7, *rng.integers(0, 1 << 62, 5).tolist()] for _ in range(n)]
+    nodes = spark.createDataFrame([(k, bytearray(sim[k].tobytes()), bytearray(pairs[k].tobytes()), routes[k]) for k in range(n)], "node bigint, sim binary, pairs binary, routes array<bigint>")
+    found = neardup._edges(nodes, params(rows_per_shard=50)).collect()
+    assert {(r["a"], r["b"]) for r in found if r["a"] is not None} == {(k + 1, k) for k in range(0, n, 2)}
+    tiles = [r["points"] for r in found if r["a"] is None and r["exact"] == r["points"]]
+    assert len(tiles) == 16 * 17 // 2 and max(tiles) <= 2 * 50  # 16 blocks of about 25
+
+
 def test_texts_of_signs_alone_are_copies_where_they_are_equal(spark):
     d = docs(spark, [(1, "!!! ???", "en", "a"), (2, "!!!  ???", "en", "a"), (3, "!!!???", "en", "a"), (4, "😀", "en", "a"), (5, "😀", "en", "a"), (6, " ", "en", "a"), (7, "", "en", "a"), (8, None, "en", "a")])
     assert sorted(r["doc_id"] for r in neardup.deduplicate(d).collect()) == [1, 3, 4, 6, 7, 8]
