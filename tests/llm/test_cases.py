@@ -646,3 +646,24 @@ def test_pipeline_on_odd_and_empty_tables(spark, tmp_path):
         spark.createDataFrame([(1, "one two three four five six seven eight"), (2, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
         got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
         assert len(got) <= len(ODD) and (name == "odd" or not got)
+
+
+def test_near_duplicates_of_the_pipeline_on_a_hot_route(spark, sf, monkeypatch):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(36)
+    header, vocabulary = " ".join("licence%d" % k for k in range(60)), ["w%d" % k for k in range(3000)]
+    texts = []
+    for _ in range(600):
+        base = rng.choice(vocabulary, 70).tolist()
+        texts += [" ".join([header, *base]), " ".join([header, *(rng.choice(vocabulary) if rng.random() < 0.2 else w for w in base)])]
+    s = neardup.sketches(texts)
+    held = collections.Counter(s["routes"].ravel().tolist())
+    shared = [set(s["routes"][i].tolist()) & set(s["routes"][i + 1].tolist()) for i in range(0, len(texts), 2)]
+    near = [all(np.bitwise_count(s[k][i] ^ s[k][i + 1]).sum() <= most for k, most in (("sim", neardup.RADIUS), ("pairs", neardup.VERIFY))) for i in range(0, len(texts), 2)]
+    pairs = [2 * k for k, (x, fit) in enumerate(zip(shared, near, strict=True)) if fit and any(held[r] > 100 for r in x)]
+    assert sum(len(shared[i // 2]) == 1 for i in pairs) >= 10  # no other route in common
+    monkeypatch.setattr(neardup, "ROWS_PER_SHARD", 50)
+    d = docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, d, sf).collect()}
+    assert not [i for i in pairs if i in kept and i + 1 in kept]
