@@ -667,3 +667,32 @@ def test_near_duplicates_of_the_pipeline_on_a_hot_route(spark, sf, monkeypatch):
     d = docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
     kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, d, sf).collect()}
     assert not [i for i in pairs if i in kept and i + 1 in kept]
+
+
+def test_near_duplicates_of_the_pipeline_without_a_common_route(spark, sf):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(37)
+    vocabulary, texts = ["w%d" % k for k in range(3000)], []
+    for _ in range(1500):
+        base = rng.choice(vocabulary, 40).tolist()
+        texts += [" ".join(base), " ".join(rng.choice(vocabulary) if rng.random() < 0.15 else w for w in base)]
+    s = neardup.sketches(texts)
+    near = lambda i, j: all(np.bitwise_count(s[k][i] ^ s[k][j]).sum() <= most for k, most in (("sim", neardup.RADIUS), ("pairs", neardup.VERIFY)))
+    pairs = [i for i in range(0, len(texts), 2) if near(i, i + 1)]
+    assert sum(not set(s["routes"][i].tolist()) & set(s["routes"][i + 1].tolist()) for i in pairs) >= 10
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]), sf).collect()}
+    assert not [i for i in pairs if i in kept and i + 1 in kept]
+
+
+def test_deduplicated_by_blocks_as_by_brute_force(spark):
+    rng = np.random.default_rng(38)
+    texts = make_copies(rng, 60, 2, 0.06) + make_copies(rng, 1, 100, 0.04) + make_copies(rng, 50, 0, 0) + ["!!!", "!!!", "", "one"]
+    s = neardup.sketches(texts)
+    worded = np.flatnonzero(s["n"] > 0)
+    want = brute_components(s["sim"][worded], s["pairs"][worded], neardup.RADIUS, neardup.VERIFY)
+    kept = sorted({*worded[np.unique(want, return_index=True)[1]].tolist(), len(texts) - 4, len(texts) - 2})
+    d = docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    for rows, blocks in (((10_000, 20_000), 1), ((10, 20_000), 12), ((1, 20), 17)):
+        assert neardup._blocks(len(worded), rows) == blocks
+        assert sorted(r["doc_id"] for r in neardup.deduplicate(d, rows_per_block=rows).collect()) == kept
