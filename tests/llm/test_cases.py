@@ -696,3 +696,20 @@ def test_deduplicated_by_blocks_as_by_brute_force(spark):
     for rows, blocks in (((10_000, 20_000), 1), ((10, 20_000), 12), ((1, 20), 17)):
         assert neardup._blocks(len(worded), rows) == blocks
         assert sorted(r["doc_id"] for r in neardup.deduplicate(d, rows_per_block=rows).collect()) == kept
+
+
+def test_segments_find_what_brute_force_finds():
+    rng = np.random.default_rng(40)
+    word = lambda k: rng.integers(0, 1 << 63, k, dtype=np.int64).view(np.uint64)
+    sim = np.concatenate([noisy(rng, word(2), 700, 3), *(noisy(rng, word(2), 4, f) for f in (3, 7, 11, 15) for _ in range(100))])
+    for k in range(0, 40, 2):  # exactly at the limit and one beyond, in places drawn at random
+        sim[700 + k + 1] = sim[700 + k]
+        for i in rng.permutation(128)[: neardup.RADIUS + k % 4 // 2].tolist():
+            sim[700 + k + 1, i // 64] ^= np.uint64(1 << i % 64)
+    n = len(sim)
+    pairs = np.repeat(word(4)[None], n, 0)
+    for side in (np.zeros(n, np.int32), rng.integers(0, 2, n).astype(np.int32)):
+        want = neardup.tile_edges(np.arange(n), side, sim, pairs, params(cross_pairs=1 << 60))
+        got = neardup.tile_edges(np.arange(n), side, sim, pairs, params(cross_pairs=0))
+        assert len(want[0]) > 700 and all((a == b).all() for a, b in zip(want, got, strict=True))
+    assert sum(w for _, w, _ in neardup._cuts(30)) == 128 and sum(t + 1 for *_, t in neardup._cuts(30)) == 31
