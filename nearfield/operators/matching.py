@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from nearfield.functions import bits, scores
+from nearfield.operators import tiles
 from nearfield.plans.policy import Policy, Threshold
 
 #: A side is broadcast for a nested loop only up to so many rows; beyond, segments are joined by a shuffle.
@@ -37,16 +40,30 @@ def _masks(bits_: int, most: int) -> list[int]:
     return [sum(1 << i for i in c) for k in range(most + 1) for c in itertools.combinations(range(bits_), k)]
 
 
-def plan_segments(n_spec: int, n_cand: int, most: int) -> tuple[int, int]:
-    """(bits of a segment, bits that may differ in it) with the least work: probes of the candidates and pairs to compare.
+#: What a pair of a tile costs, of what a row of a join costs.
+TILE_COST = 0.02
 
-    Of 64 / b segments one differs in most // (64 / b) bits at most, where hashes differ in most bits.
-    """
+
+def _work(n_spec: int, n_cand: int, most: int) -> dict[tuple[int, int], float]:
     work = {}
     for width in (4, 8, 16):
         flips = most // (64 // width)
         probes = 64 // width * len(_masks(width, flips)) if flips < 4 else 1 << 40
         work[width, flips] = n_cand * probes + n_spec * n_cand * probes / 2.0**width + n_spec * 64 // width
+    return work
+
+
+def in_tiles(n_spec: int, n_cand: int, most: int) -> bool:
+    """Whether comparing all pairs in tiles is less work than joining by segments that prune little."""
+    return n_spec * n_cand * TILE_COST < min(_work(n_spec, n_cand, most).values())
+
+
+def plan_segments(n_spec: int, n_cand: int, most: int) -> tuple[int, int]:
+    """(bits of a segment, bits that may differ in it) with the least work: probes of the candidates and pairs to compare.
+
+    Of 64 / b segments one differs in most // (64 / b) bits at most, where hashes differ in most bits.
+    """
+    work = _work(n_spec, n_cand, most)
     return min(work, key=work.get)
 
 
@@ -115,14 +132,40 @@ def cascade(pairs: DataFrame, policy: Policy) -> DataFrame:
     return yes.unionByName(maybe.withColumn("decision", F.lit("suspicious")))
 
 
-def explain(pairs: DataFrame, policy: Policy) -> DataFrame:
-    """For each candidate and level the nearest specimen, whether it passed, and why not."""
+def limits(t: Threshold, slack: int = 0) -> tuple[int, int, int]:
+    """The hashes' limits, as :mod:`nearfield.operators.tiles` takes them."""
+    return t.phash_max + slack, t.dhash_max + slack, t.total_max + slack
+
+
+def nearest_for_levels(spec: DataFrame, cand: DataFrame, policy: Policy, last: bool) -> DataFrame:
+    """Of each candidate the pairs that can be its best at either level: the nearest within its limits, of every block
+    of specimens. Where the score doesn't fall any more (beyond the total) all are equally near for the last one to win."""
     out = None
+    for t, slack in ((policy.confirmed, 0), (policy.suspicious, policy.suspicious.near_miss_slack)):
+        total = np.add.outer(np.arange(65), np.arange(65))
+        d = tiles.nearest(cand, spec, last=last, limits=[limits(t, slack)], sizes=t, rank=np.minimum(total, t.total_max) if last else total)
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+def ranks(spark: SparkSession, score: Callable[[], Column]) -> np.ndarray:
+    """[pd, dd]: the place of score among all values it can have, the highest first."""
+    d = spark.range(65 * 65).select("id", F.floor(F.col("id") / 65).cast("int").alias("pd"), (F.col("id") % 65).cast("int").alias("dd")).select("id", score())
+    v = np.array([r[1] for r in sorted(d.collect())])
+    return np.unique(-v, return_inverse=True)[1].reshape(65, 65)
+
+
+def explain(spec: DataFrame, cand: DataFrame, policy: Policy) -> DataFrame:
+    """For each candidate and level the nearest specimen, whether it passed, and why not.
+
+    The nearest that passes and the nearest of all are found in tiles; what is left are a few pairs of each candidate.
+    """
+    pairs = tiles.nearest(cand, spec).unionByName(nearest_for_levels(spec, cand, policy, last=False))
+    best = []
     for name, t, slack in (("confirmed", policy.confirmed, 0), ("suspicious", policy.suspicious, policy.suspicious.near_miss_slack)):
         near = scores.compatible(F.col("pd"), F.col("dd"), t, slack)
         size = scores.geometry_compatible(F.col("s_width"), F.col("s_height"), F.col("width"), F.col("height"), t)
         reason = F.when(near & size, F.when(scores.compatible(F.col("pd"), F.col("dd"), t), "within limits").otherwise("near miss")).when(near, "size").when(size, "distance").otherwise("distance and size")
-        step = pairs.groupBy("id").agg(F.count("*").alias("considered"), F.min_by(F.struct("s_id", "pd", "dd", reason.alias("reason")), F.struct((~(near & size)).cast("int"), F.col("pd") + F.col("dd"), "s_id")).alias("b"))
-        step = step.select("id", F.lit(name).alias("level"), "considered", "b.*").withColumn("passed", F.col("reason").isin("within limits", "near miss"))
-        out = step if out is None else out.unionByName(step)
-    return out
+        best.append(F.min_by(F.struct(F.lit(name).alias("level"), "s_id", "pd", "dd", reason.alias("reason")), F.struct((~(near & size)).cast("int"), F.col("pd") + F.col("dd"), "s_id")).alias(name))
+    rows = pairs.groupBy("id").agg(*best).select("id", F.explode(F.array("confirmed", "suspicious")).alias("b"))
+    return rows.select("id", "b.level", F.lit(spec.count()).cast("bigint").alias("considered"), "b.s_id", "b.pd", "b.dd", "b.reason", F.col("b.reason").isin("within limits", "near miss").alias("passed"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from nearfield.functions import bits, scores
-from nearfield.operators import audit, fingerprints, graph, local, matching
+from nearfield.operators import audit, fingerprints, graph, local, matching, tiles
 from nearfield.plans.policy import WIDE, Threshold
 
 from .tables import load, rounded
@@ -56,13 +56,21 @@ def fps(spark, sf):
     return fingerprints.fingerprints(load(spark, sf, "embeddings"))
 
 
+def sides(spark, sf):
+    return fingerprints.split(fps(spark, sf).select("id", "label", "ph", "dh", "width", "height"))
+
+
 def pairs(spark, sf):
-    spec, cand = fingerprints.split(fps(spark, sf))
-    cols = ["id", "label", "ph", "dh", "width", "height"]
-    return matching.all_pairs(spec.select(*cols), cand.select(*cols))
+    return matching.all_pairs(*sides(spark, sf))
+
+
+def near(spark, sf, *limits):
+    spec, cand = sides(spark, sf)
+    return tiles.near(cand, spec, list(limits))
 
 
 C, S = WIDE.confirmed, WIDE.suspicious
+_COH = replace(C, phash_max=64, dhash_max=64, total_max=80)
 
 
 def exact_match(spark, sf):
@@ -90,7 +98,7 @@ def hit_counters(spark, sf):
 
 
 def hamming_all_pairs(spark, sf):
-    return pairs(spark, sf).filter("pd <= 20 or dd <= 18").select("id", "s_id", "pd", "dd")
+    return near(spark, sf, (20, 64), (64, 18)).select("id", "s_id", "pd", "dd")
 
 
 #: Bits in which the four variants of a fingerprint differ from it: none, 5, 10 and 16 of them.
@@ -114,20 +122,20 @@ def near_dup_pairs(spark, sf):
 
 
 def perceptual_match(spark, sf):
-    return rounded(matching.best(matching.perceptual_evidence(pairs(spark, sf), C)).filter(F.col("score") >= scores.f32(C.score)), "stage_score", "score")
+    return rounded(matching.best(matching.perceptual_evidence(near(spark, sf, matching.limits(C)), C)).filter(F.col("score") >= scores.f32(C.score)), "stage_score", "score")
 
 
 def suspicious_near_miss(spark, sf):
-    d = matching.perceptual_evidence(pairs(spark, sf), S, S.near_miss_slack)
+    d = matching.perceptual_evidence(near(spark, sf, matching.limits(S, S.near_miss_slack)), S, S.near_miss_slack)
     return rounded(d.filter(~scores.compatible(F.col("pd"), F.col("dd"), S)), "stage_score", "score")
 
 
 def cascade_decision(spark, sf):
-    return rounded(matching.cascade(pairs(spark, sf), WIDE), "stage_score", "score")
+    return rounded(matching.cascade(matching.nearest_for_levels(*sides(spark, sf), WIDE, last=True).distinct(), WIDE), "stage_score", "score")
 
 
 def cascade_explain(spark, sf):
-    return matching.explain(pairs(spark, sf), WIDE)
+    return matching.explain(*sides(spark, sf), WIDE)
 
 
 def geometry_compatible(spark, sf):
@@ -169,7 +177,7 @@ def top_k_specimens(spark, sf):
 
 def compare_sets(spark, sf):
     """Every candidate with its best specimen of another label, misses kept."""
-    d = pairs(spark, sf).filter("label <> s_label and pd + dd <= 48")
+    d = near(spark, sf, (64, 64, 48)).filter("label <> s_label")
     w = Window.partitionBy("id").orderBy(F.col("pd") + F.col("dd"), "s_id")
     hit = d.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("id", "s_id", "pd", "dd")
     return fps(spark, sf).filter("id % 5 = 0").select("id").join(hit, "id", "left").withColumn("matched", F.col("s_id").isNotNull())
@@ -177,7 +185,7 @@ def compare_sets(spark, sf):
 
 def variant_join(spark, sf):
     """Matches against either stored representation: as it is, or its preview (the gradient hash alone)."""
-    d = pairs(spark, sf)
+    d = near(spark, sf, (20, 64), (64, 18))
     full = d.filter("pd <= 20").select("id", "s_id", F.lit("original").alias("variant"), F.col("pd").alias("distance"))
     return full.unionByName(d.filter("dd <= 18").select("id", "s_id", F.lit("preview").alias("variant"), F.col("dd").alias("distance")))
 
@@ -211,8 +219,6 @@ def reference_outliers(spark, sf):
 _MASKS = ", ".join(f"({k}, {m >> 32}::BIGINT, {m & 0xFFFFFFFF}::BIGINT)" for k, m in enumerate(NOISE))
 VARIANTS = f"mk(k, m0, m1) AS (VALUES {_MASKS}), vr AS (SELECT id * 4 + k AS id, xor(p0, m0) AS p0, xor(p1, m1) AS p1, xor(d0, m0) AS d0, xor(d1, m1) AS d1 FROM fp, mk)"
 _SEG = " UNION ALL ".join(f"SELECT id, {16 * k} + ((p{k // 8} >> {28 - 4 * (k % 8)}) & 15) AS slot FROM fp" for k in range(16))
-_COH = replace(C, phash_max=64, dhash_max=64, total_max=80)
-
 QUERIES = {f.__name__: f for f in (exact_match, exact_dup_groups, import_anti, zero_hit_anti, hit_counters, hamming_all_pairs, hamming_segment_join, near_dup_pairs, perceptual_match, suspicious_near_miss, cascade_decision, cascade_explain, geometry_compatible, visual_similarity_score, weighted_evidence_argmax, best_per_candidate, top_k_specimens, compare_sets, variant_join, distinct_hash_dictionary, index_occupancy, coherence_edges, coherence_clusters, reference_outliers)}
 
 _EXACT = "WITH k AS (SELECT doc_id AS candidate, md5(text) AS k FROM documents), f AS (SELECT k, min(candidate) AS specimen FROM k GROUP BY k HAVING count(*) > 1), m AS (SELECT candidate, specimen FROM k JOIN f USING (k) WHERE candidate <> specimen) "

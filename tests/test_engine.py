@@ -2,16 +2,19 @@
 
 import itertools
 import os
+from dataclasses import replace
 
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from nearfield import catalogue
 from nearfield.functions import bits, media, scores, stats, text
-from nearfield.operators import cascade, gate, geometry, graph, local, matching, metrics, pixels, validation
-from nearfield.plans.policy import Policy, Shape, TextGate
+from nearfield.operators import cascade, gate, geometry, graph, local, matching, metrics, pixels, tiles, validation
+from nearfield.plans import matching as plans
+from nearfield.plans.policy import WIDE, Policy, Shape, TextGate
 from nearfield.sources import records
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -383,3 +386,69 @@ def test_query(spark, sf, duck, name):
     assert sorted(rel.columns) == cols
     at = [rel.columns.index(c) for c in cols]
     assert got == sorted(repr([_plain(r[i]) for i in at]) for r in rel.fetchall())
+
+
+def hashes(rng, n, places=12, flips=24):
+    """n pairs of hashes in few places, so that distances of all sizes occur; sizes and a label."""
+    word = lambda k: rng.integers(-(2**63), 2**63 - 1, k)
+    ph, dh = (word(places)[rng.integers(0, places, n)] for _ in range(2))
+    for v in (ph, dh):
+        for k in range(n):
+            for i in rng.permutation(63)[: rng.integers(0, flips)].tolist():
+                v[k] ^= 1 << i
+    return [(k, int(ph[k]), int(dh[k]), int(640 + rng.integers(0, 400)), int(640 + rng.integers(0, 300))) for k in rng.permutation(10 * n)[:n].tolist() for k in [k % n]]
+
+
+HASHES = "id bigint, ph bigint, dh bigint, width int, height int"
+
+
+@pytest.fixture
+def hashed(spark, monkeypatch):
+    """Specimens, candidates, and all pairs of them; blocks are small, so that there are many tiles."""
+    monkeypatch.setattr(tiles, "ROWS", (10, 60))
+    monkeypatch.setattr(tiles, "CELLS", 500)
+    rng = np.random.default_rng(8)
+    rows = [(i, *r[1:]) for i, r in enumerate(hashes(rng, 400))]
+    rows += [(400 + i, *rows[i][1:]) for i in range(20)]  # equal distances, so that ids decide
+    d = spark.createDataFrame(rows, HASHES)
+    spec, cand = d.filter("id % 3 > 0"), d.filter("id % 3 = 0")
+    return spec, cand, matching.all_pairs(spec, cand).cache()
+
+
+def same(a, b):
+    cols = sorted(b.columns)
+    assert sorted(a.columns) == cols
+    got, want = (sorted(map(tuple, d.select(*cols).collect())) for d in (a, b))
+    assert got == want and want
+
+
+def test_tiles_give_the_pairs_within_limits(hashed):
+    spec, cand, every = hashed
+    same(tiles.near(cand, spec, [(20, 64), (64, 18)]), every.filter("pd <= 20 or dd <= 18"))
+    same(tiles.near(cand, spec, [(64, 64, 48)]), every.filter("pd + dd <= 48"))
+
+
+def test_explained_from_tiles_as_from_all_pairs(hashed):
+    spec, cand, every = hashed
+    policy = Policy(confirmed=replace(Policy().confirmed, phash_max=20, dhash_max=20, total_max=30), suspicious=replace(Policy().suspicious, phash_max=24, dhash_max=24, total_max=40, near_miss_slack=3))
+    got = {(r["id"], r["level"]): r for r in matching.explain(spec, cand, policy).collect()}
+    rows, reasons = every.collect(), set()
+    for level, t, slack in (("confirmed", policy.confirmed, 0), ("suspicious", policy.suspicious, 3)):
+        fit = {(r["id"], r["s_id"]) for r in matching.perceptual_evidence(every, t, slack).collect()}
+        for i in {r["id"] for r in rows}:
+            own = [r for r in rows if r["id"] == i]
+            want = min(own, key=lambda r: ((r["id"], r["s_id"]) not in fit, r["pd"] + r["dd"], r["s_id"]))
+            r = got.pop((i, level))
+            assert (r["considered"], r["s_id"], r["pd"], r["dd"], r["passed"]) == (len(own), want["s_id"], want["pd"], want["dd"], (i, want["s_id"]) in fit)
+            reasons.add(r["reason"])
+    assert not got and {"within limits", "near miss", "distance"} <= reasons
+
+
+def test_decisions_from_tiles_as_from_all_pairs(hashed):
+    spec, cand, every = hashed
+    for last in (True, False):
+        d = tiles.nearest(cand, spec, "dd" if last else "total", last)
+        w = Window.partitionBy("id").orderBy(F.col("dd") if last else F.col("pd") + F.col("dd"), F.desc("s_id") if last else "s_id")
+        best = lambda x, w=w: x.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
+        same(best(d), best(every))
+    same(matching.cascade(matching.nearest_for_levels(spec, cand, WIDE, True).distinct(), WIDE), matching.cascade(every, WIDE))
