@@ -452,3 +452,14 @@ def test_decisions_from_tiles_as_from_all_pairs(hashed):
         best = lambda x, w=w: x.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
         same(best(d), best(every))
     same(matching.cascade(matching.nearest_for_levels(spec, cand, WIDE, True).distinct(), WIDE), matching.cascade(every, WIDE))
+
+
+def test_edges_and_links_from_tiles(hashed):
+    spec, _, _ = hashed
+    t = replace(Policy().confirmed, phash_max=64, dhash_max=64, total_max=80)
+    w = F.least(F.lit(1000), F.round(scores.perceptual(F.col("pd") + F.col("dd"), t).cast("double"))).cast("int").alias("weight")
+    every = matching.all_pairs(spec, spec).filter("s_id < id").filter("pd + dd <= 80").select(F.col("s_id").alias("a"), F.col("id").alias("b"), w).filter("weight >= 42").cache()
+    same(graph.coherence_edges(spec, t, 42), every)
+    close = replace(t, phash_max=22, total_max=44)
+    want = matching.all_pairs(spec, spec).filter("s_id < id and pd <= 22 and pd + dd <= 44").select(F.col("s_id").alias("a"), F.col("id").alias("b"))
+    same(graph.coherence_edges(spec, close).select("a", "b"), want)
