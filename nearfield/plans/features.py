@@ -6,7 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from nearfield.operators import cascade, fingerprints, geometry, graph, local, matching, pixels
+from nearfield.operators import cascade, fingerprints, geometry, graph, local, matching, pixels, tiles
 from nearfield.plans.policy import Shape, Threshold
 
 from . import matching as plans
@@ -129,9 +129,9 @@ def orb_features(spark, sf):
 
 
 def cluster_promotion(spark, sf):
-    edges = plans.edges_of(plans.fps(spark, sf))
-    d = plans.pairs(spark, sf).select("id", "s_id", (F.lit(100) - F.col("pd") - F.col("dd")).alias("score"))
-    return graph.promotion(d, edges, 42, 50, 2)
+    """Members from a score of 42 (100 less both distances), links of 50 or more."""
+    spec, cand = plans.sides(spark, sf)
+    return tiles.promotion(cand, spec, 100 - 42, graph.farthest(spec, plans._COH, 50), 2)
 
 
 QUERIES = {f.__name__: f for f in (cascade_full, cascade_unverified, cascade_full_explain, visual_shape, anchor_bucket_join, dense_bucket_join, anchor_ranking, anchor_runner_up, mutual_best, unverified_support, ring_region_select, geometry_verify, phash_dhash, orb_features, cluster_promotion)}

@@ -463,3 +463,12 @@ def test_edges_and_links_from_tiles(hashed):
     close = replace(t, phash_max=22, total_max=44)
     want = matching.all_pairs(spec, spec).filter("s_id < id and pd <= 22 and pd + dd <= 44").select(F.col("s_id").alias("a"), F.col("id").alias("b"))
     same(graph.coherence_edges(spec, close).select("a", "b"), want)
+
+
+@pytest.mark.parametrize("member, coherent", [(58, 62), (40, 36), (24, 18)])
+def test_promotion_without_lists_of_pairs(hashed, monkeypatch, member, coherent):
+    monkeypatch.setattr(tiles, "WHOLE", 30)
+    spec, cand, every = hashed
+    edges = matching.all_pairs(spec, spec).filter(f"s_id < id and pd + dd <= {coherent}").select(F.col("s_id").alias("a"), F.col("id").alias("b"), F.lit(1).alias("weight"))
+    want = graph.promotion(every.select("id", "s_id", (F.lit(100) - F.col("pd") - F.col("dd")).alias("score")), edges, 100 - member, 1, 2)
+    same(tiles.promotion(cand, spec, member, coherent, 2), want)
