@@ -91,12 +91,13 @@ def near_pairs(fp: DataFrame, most_ph: int = 4, most_dh: int = 4, content: str |
     """Unordered pairs within both distances whose content differs (no cap on comparisons)."""
     hash_, most = ("ph", most_ph) if most_ph <= most_dh else ("dh", most_dh)
     fp = fp.select("id", "ph", "dh", (F.col(content) if content else F.lit(None)).alias("content"))
-    if most < 16:
+    n = fp.count()
+    if most >= 16 or in_tiles(n, n, most):
+        d = tiles.near(fp, None, [(most_ph, most_dh)])
+    else:
         pairs = segment_pairs(fp, fp, hash_, most).filter("s_id < id").select("id", "s_id")
         left = fp.select(F.col("id").alias("s_id"), F.col("ph").alias("s_ph"), F.col("dh").alias("s_dh"), F.col("content").alias("s_content"))
         d = pairs.join(fp, "id").join(left, "s_id").withColumns({"pd": bits.hamming(F.col("ph"), F.col("s_ph")), "dd": bits.hamming(F.col("dh"), F.col("s_dh"))})
-    else:
-        d = all_pairs(fp, fp).filter("s_id < id")
     other = ~F.coalesce(F.col("content") == F.col("s_content"), F.lit(False))
     return d.filter((F.col("pd") <= most_ph) & (F.col("dd") <= most_dh) & other).select(F.col("s_id").alias("id_a"), F.col("id").alias("id_b"), "pd", "dd")
 

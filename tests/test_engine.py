@@ -472,3 +472,11 @@ def test_promotion_without_lists_of_pairs(hashed, monkeypatch, member, coherent)
     edges = matching.all_pairs(spec, spec).filter(f"s_id < id and pd + dd <= {coherent}").select(F.col("s_id").alias("a"), F.col("id").alias("b"), F.lit(1).alias("weight"))
     want = graph.promotion(every.select("id", "s_id", (F.lit(100) - F.col("pd") - F.col("dd")).alias("score")), edges, 100 - member, 1, 2)
     same(tiles.promotion(cand, spec, member, coherent, 2), want)
+
+
+def test_near_pairs_in_tiles_as_by_segments(hashed, monkeypatch):
+    d = hashed[0].withColumn("c", F.floor(F.col("id") / 40).cast("string"))
+    want = matching.near_pairs(d, 12, 15, "c").cache()
+    assert matching.in_tiles(1000, 1000, 15) and not matching.in_tiles(10**6, 10**6, 3)
+    monkeypatch.setattr(matching, "TILE_COST", 1e9)
+    same(want, matching.near_pairs(d, 12, 15, "c"))
