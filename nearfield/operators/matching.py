@@ -72,8 +72,13 @@ def segment_pairs(spec: DataFrame, cand: DataFrame, hash_: str, most: int, seg_b
 
     Specimens are looked up by their segments, candidates by theirs with up to so many bits flipped; only ids and hashes
     are exploded and shuffled. A pair is kept at the first of its segments that fits, so nothing has to be made distinct.
+    Where segments prune too little (:func:`in_tiles`), all are compared in tiles, unless seg_bits are given.
     """
-    width, flips = (seg_bits, most // (64 // seg_bits)) if seg_bits else plan_segments(spec.count(), cand.count(), most)
+    n = (0, 0) if seg_bits else (spec.count(), cand.count())
+    if not seg_bits and in_tiles(*n, most):
+        cols = [F.col("id"), F.col(hash_).alias("h")]
+        return tiles.near(cand.select(*cols), spec.select(*cols), [(most,)], ("h",), ("distance",)).select("id", "s_id", "distance")
+    width, flips = (seg_bits, most // (64 // seg_bits)) if seg_bits else plan_segments(*n, most)
     slots = bits.segments(F.col(hash_), width)
     near = F.flatten(F.transform(slots, lambda s: F.transform(F.array(*[F.lit(m) for m in _masks(width, flips)]), lambda m: s.bitwiseXOR(m))))
     side = lambda d, p, at: d.select(F.col("id").alias(f"{p}id"), F.col(hash_).alias(f"{p}h"), F.explode(at).alias("slot"))

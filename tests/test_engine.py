@@ -480,3 +480,12 @@ def test_near_pairs_in_tiles_as_by_segments(hashed, monkeypatch):
     assert matching.in_tiles(1000, 1000, 15) and not matching.in_tiles(10**6, 10**6, 3)
     monkeypatch.setattr(matching, "TILE_COST", 1e9)
     same(want, matching.near_pairs(d, 12, 15, "c"))
+
+
+@pytest.mark.parametrize("most", [6, 15, 40])
+def test_segment_pairs_in_tiles_as_by_segments(hashed, monkeypatch, most):
+    spec, cand, every = hashed
+    same(matching.segment_pairs(spec, cand, "ph", most), every.filter(f"pd <= {most}").select("id", "s_id", F.col("pd").alias("distance")))
+    if most < 40:
+        monkeypatch.setattr(matching, "TILE_COST", 1e9)
+        same(matching.segment_pairs(spec, cand, "ph", most), every.filter(f"pd <= {most}").select("id", "s_id", F.col("pd").alias("distance")))
