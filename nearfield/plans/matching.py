@@ -166,7 +166,8 @@ def weighted_evidence_argmax(spark, sf):
 
 
 def best_per_candidate(spark, sf):
-    d = pairs(spark, sf)
+    spec, cand = sides(spark, sf)
+    d = tiles.nearest(cand, spec)
     return d.groupBy("id").agg(F.min_by("s_id", F.struct(F.col("pd") + F.col("dd"), "s_id")).alias("s_id"), F.min(F.col("pd") + F.col("dd")).alias("total"))
 
 
