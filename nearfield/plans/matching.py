@@ -210,7 +210,7 @@ def coherence_edges(spark, sf):
 
 
 def coherence_clusters(spark, sf):
-    return graph.clusters(coherence_edges(spark, sf), 60, 2)
+    return graph.clusters(graph.coherence_links(fps(spark, sf), _COH, 60), 60, 2)
 
 
 def reference_outliers(spark, sf):

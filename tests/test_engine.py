@@ -489,3 +489,12 @@ def test_segment_pairs_in_tiles_as_by_segments(hashed, monkeypatch, most):
     if most < 40:
         monkeypatch.setattr(matching, "TILE_COST", 1e9)
         same(matching.segment_pairs(spec, cand, "ph", most), every.filter(f"pd <= {most}").select("id", "s_id", F.col("pd").alias("distance")))
+
+
+def test_links_join_what_all_edges_join(hashed):
+    spec, _, _ = hashed
+    t = replace(Policy().confirmed, phash_max=64, dhash_max=64, total_max=80)
+    for coherence in (60, 66, 75):
+        links, edges = graph.coherence_links(spec, t, coherence), graph.coherence_edges(spec, t, 42)
+        same(graph.clusters(links, coherence, 2), graph.clusters(edges, coherence, 2))
+    assert links.count() < edges.filter("weight >= 75").count()
