@@ -153,18 +153,33 @@ def visual_similarity_score(spark, sf):
     return d.withColumn("visual", F.round(v, 2))
 
 
-def weighted_evidence_argmax(spark, sf):
-    """Two kinds of evidence for a pair, summed by weight; the best specimen of each candidate."""
-    d = pairs(spark, sf)
+def _second():
+    return scores.inverse(F.col("dd"), 64.0)
+
+
+def _both_kinds():
+    """The total of a pair with the first kind of evidence, and the second where it has that."""
+    first = (scores.perceptual(F.col("pd") + F.col("dd"), S) * scores.f32(S.perceptual_weight)).cast("float")
+    two = F.when(F.col("dd") <= 26, F.round((_second() * scores.f32(1.4)).cast("float").cast("double"), 2)).otherwise(0.0)
+    return F.round(F.round(first.cast("double"), 2) + two, 2)
+
+
+def weighted_best(d):
+    """Both kinds of evidence of every pair, summed by weight; the best specimen of each candidate."""
     a = matching.perceptual_evidence(d, S).select("id", "s_id", F.lit(1).alias("seq"), "stage_score", "score")
-    near = d.filter("dd <= 26")
-    stage = scores.inverse(F.col("dd"), 64.0)
-    b = near.select("id", "s_id", F.lit(2).alias("seq"), stage.alias("stage_score"), (stage * scores.f32(1.4)).cast("float").alias("score"))
+    b = d.filter("dd <= 26").select("id", "s_id", F.lit(2).alias("seq"), _second().alias("stage_score"), (_second() * scores.f32(1.4)).cast("float").alias("score"))
     total = a.unionByName(b).groupBy("id", "s_id").agg(F.sum(F.round(F.col("score").cast("double"), 2)).alias("total"), F.max_by("seq", F.struct("stage_score", "seq")).alias("best_stage"), F.count("*").alias("n"))
     w = Window.partitionBy("id").orderBy(F.desc(F.round("total", 2)), F.desc("s_id"))
     return total.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("id", "s_id", F.round("total", 2).alias("total"), "best_stage", "n")
 
 
+def weighted_evidence_argmax(spark, sf):
+    """Only these pairs can be the best: the best of those with both kinds of evidence, and the nearest by the second alone."""
+    spec, cand = sides(spark, sf)
+    both = tiles.nearest(cand, spec, last=True, limits=[matching.limits(S)], sizes=S, rank=matching.ranks(spark, _both_kinds))
+    return weighted_best(both.unionByName(tiles.nearest(cand, spec, "dd", last=True)).distinct())
+
+
 def best_per_candidate(spark, sf):
     spec, cand = sides(spark, sf)
     d = tiles.nearest(cand, spec)

@@ -465,6 +465,15 @@ def test_edges_and_links_from_tiles(hashed):
     same(graph.coherence_edges(spec, close).select("a", "b"), want)
 
 
+def test_links_join_what_all_edges_join(hashed):
+    spec, _, _ = hashed
+    t = replace(Policy().confirmed, phash_max=64, dhash_max=64, total_max=80)
+    for coherence in (60, 66, 75):
+        links, edges = graph.coherence_links(spec, t, coherence), graph.coherence_edges(spec, t, 42)
+        same(graph.clusters(links, coherence, 2), graph.clusters(edges, coherence, 2))
+    assert links.count() < edges.filter("weight >= 75").count()
+
+
 @pytest.mark.parametrize("member, coherent", [(58, 62), (40, 36), (24, 18)])
 def test_promotion_without_lists_of_pairs(hashed, monkeypatch, member, coherent):
     monkeypatch.setattr(tiles, "WHOLE", 30)
@@ -491,10 +500,8 @@ def test_segment_pairs_in_tiles_as_by_segments(hashed, monkeypatch, most):
         same(matching.segment_pairs(spec, cand, "ph", most), every.filter(f"pd <= {most}").select("id", "s_id", F.col("pd").alias("distance")))
 
 
-def test_links_join_what_all_edges_join(hashed):
-    spec, _, _ = hashed
-    t = replace(Policy().confirmed, phash_max=64, dhash_max=64, total_max=80)
-    for coherence in (60, 66, 75):
-        links, edges = graph.coherence_links(spec, t, coherence), graph.coherence_edges(spec, t, 42)
-        same(graph.clusters(links, coherence, 2), graph.clusters(edges, coherence, 2))
-    assert links.count() < edges.filter("weight >= 75").count()
+def test_weighted_best_from_few_pairs_as_from_all(hashed):
+    spec, cand, every = hashed
+    got = plans.weighted_best(tiles.nearest(cand, spec, last=True, limits=[matching.limits(plans.S)], sizes=plans.S, rank=matching.ranks(spec.sparkSession, plans._both_kinds)).unionByName(tiles.nearest(cand, spec, "dd", last=True)).distinct())
+    same(got, plans.weighted_best(every))
+    assert got.filter("n = 1").count() and got.filter("n = 2").count()
