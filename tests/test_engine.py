@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from nearfield import catalogue
 from nearfield.functions import bits, media, scores, stats, text
-from nearfield.operators import cascade, gate, geometry, graph, local, matching, metrics, pixels, tiles, validation
+from nearfield.operators import cascade, features, gate, geometry, graph, local, matching, metrics, pixels, tiles, validation
 from nearfield.plans import matching as plans
 from nearfield.plans.policy import WIDE, Policy, Shape, TextGate
 from nearfield.sources import records
@@ -505,3 +505,36 @@ def test_weighted_best_from_few_pairs_as_from_all(hashed):
     got = plans.weighted_best(tiles.nearest(cand, spec, last=True, limits=[matching.limits(plans.S)], sizes=plans.S, rank=matching.ranks(spec.sparkSession, plans._both_kinds)).unionByName(tiles.nearest(cand, spec, "dd", last=True)).distinct())
     same(got, plans.weighted_best(every))
     assert got.filter("n = 1").count() and got.filter("n = 2").count()
+
+
+FEATURES = "id bigint, ord int, hash bigint, hash2 bigint, pos_x int, pos_y int, luma int, contrast int, edge int, region int"
+
+
+@pytest.fixture
+def featured(spark, monkeypatch):
+    """Specimens' and candidates' features in many tiles, and all their hits; one candidate's rows are there twice."""
+    monkeypatch.setattr(features, "ROWS", (10, 90))
+    monkeypatch.setattr(features, "HELD", 50)
+    monkeypatch.setattr(tiles, "CELLS", 500)
+    rng = np.random.default_rng(12)
+    rows = [(i // 8, i % 8, *r[1:3], *(int(v) for v in rng.integers(0, 90, 5)), int(rng.integers(0, 4))) for i, r in enumerate(hashes(rng, 480, 4, 20))]
+    d = spark.createDataFrame(rows + [r for r in rows if r[0] == 6], FEATURES)
+    spec, cand = d.filter("id % 3 > 0"), d.filter("id % 3 = 0")
+    return spec, cand, local.bucket_hits(spec, cand, LIKE, 20).cache()
+
+
+LIKE = replace(Policy().confirmed, luma_delta=60, contrast_delta=60, edge_delta=60, position_delta=70)
+
+
+def test_geometry_of_groups_as_of_pairs(featured):
+    spec, cand, hits = featured
+    at = lambda d, p: d.select(F.col("id").alias(f"{p}id"), F.col("ord").alias(f"{p}ord"), F.col("pos_x").alias(f"{p}x"), F.col("pos_y").alias(f"{p}y")).distinct()
+    placed = hits.withColumnRenamed("s_region", "region").join(at(spec, "s_"), ["s_id", "s_ord"]).join(at(cand, ""), ["id", "ord"])
+    same(features.verified(spec, cand, LIKE, 20), geometry.verify_pairs(placed))
+
+
+def test_samples_taken_together_as_one_by_one():
+    rng = np.random.default_rng(14)
+    p, q = (rng.integers(0, 9, (60, 4, 2)).astype(float) for _ in range(2))
+    h = geometry.homographies(p, q)
+    assert all(np.array_equal(h[k], geometry.homography(p[k], q[k])) for k in range(60))
