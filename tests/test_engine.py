@@ -538,3 +538,9 @@ def test_samples_taken_together_as_one_by_one():
     p, q = (rng.integers(0, 9, (60, 4, 2)).astype(float) for _ in range(2))
     h = geometry.homographies(p, q)
     assert all(np.array_equal(h[k], geometry.homography(p[k], q[k])) for k in range(60))
+
+
+def test_ranking_in_tiles(featured):
+    spec, cand, hits = featured
+    for k in (1, 3):
+        same(features.ranking(spec, cand, LIKE, 20, k), local.candidate_ranking(hits, k))
