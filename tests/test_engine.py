@@ -544,3 +544,8 @@ def test_ranking_in_tiles(featured):
     spec, cand, hits = featured
     for k in (1, 3):
         same(features.ranking(spec, cand, LIKE, 20, k), local.candidate_ranking(hits, k))
+
+
+def test_hits_in_tiles(featured):
+    spec, cand, hits = featured
+    same(features.hits(spec, cand, LIKE, 20), hits)
