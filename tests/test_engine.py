@@ -549,3 +549,10 @@ def test_ranking_in_tiles(featured):
 def test_hits_in_tiles(featured):
     spec, cand, hits = featured
     same(features.hits(spec, cand, LIKE, 20), hits)
+
+
+def test_runners_up_in_tiles(featured):
+    spec, cand, hits = featured
+    want = local.top_distinct(hits).select("id", "s_id", "s_ord", "ord", "rank", "second").fillna(-1)
+    same(features.top_distinct(spec, cand, LIKE, 20).fillna(-1), want)
+    assert want.filter("second = -1").count() and want.filter("rank = 3").count()
