@@ -556,3 +556,8 @@ def test_runners_up_in_tiles(featured):
     want = local.top_distinct(hits).select("id", "s_id", "s_ord", "ord", "rank", "second").fillna(-1)
     same(features.top_distinct(spec, cand, LIKE, 20).fillna(-1), want)
     assert want.filter("second = -1").count() and want.filter("rank = 3").count()
+
+
+def test_mutual_best_in_tiles(featured):
+    spec, cand, hits = featured
+    same(features.mutual_best(spec, cand, LIKE, 20), local.mutual_best(hits).select("id", "s_id", "ord", "s_ord", "distance"))
