@@ -561,3 +561,8 @@ def test_runners_up_in_tiles(featured):
 def test_mutual_best_in_tiles(featured):
     spec, cand, hits = featured
     same(features.mutual_best(spec, cand, LIKE, 20), local.mutual_best(hits).select("id", "s_id", "ord", "s_ord", "distance"))
+
+
+def test_support_in_tiles(featured):
+    spec, cand, hits = featured
+    same(features.unverified_support(spec, cand, LIKE, 20), local.unverified_support(hits.join(cand.select("id", "ord", "pos_x", "pos_y").distinct(), ["id", "ord"])))
