@@ -20,23 +20,12 @@ def _sides(spark, sf):
     return fingerprints.split(fingerprints.local_features(load(spark, sf, "embeddings")))
 
 
-def _hits(spark, sf):
-    spec, cand = _sides(spark, sf)
-    return local.bucket_hits(spec, cand, T, MOST)
-
-
-def _placed(spark, sf):
-    _, cand = _sides(spark, sf)
-    return _hits(spark, sf).join(cand.select("id", "ord", "pos_x", "pos_y"), ["id", "ord"])
-
-
 def anchor_bucket_join(spark, sf):
     return features.hits(*_sides(spark, sf), T, MOST)
 
 
 def dense_bucket_join(spark, sf):
-    spec, cand = _sides(spark, sf)
-    return local.bucket_hits(spec, cand, T, DENSE_MOST, 8, positions=False, both_words=False).drop("s_region")
+    return features.hits(*_sides(spark, sf), T, DENSE_MOST, 8, positions=False, both_words=False).drop("s_region")
 
 
 def anchor_ranking(spark, sf):

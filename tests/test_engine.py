@@ -566,3 +566,9 @@ def test_mutual_best_in_tiles(featured):
 def test_support_in_tiles(featured):
     spec, cand, hits = featured
     same(features.unverified_support(spec, cand, LIKE, 20), local.unverified_support(hits.join(cand.select("id", "ord", "pos_x", "pos_y").distinct(), ["id", "ord"])))
+
+
+@pytest.mark.parametrize("width", [4, 8, 16])
+def test_dense_hits_in_tiles(featured, width):
+    spec, cand, _ = featured
+    same(features.hits(spec, cand, LIKE, 16, width, positions=False, both_words=False), local.bucket_hits(spec, cand, LIKE, 16, width, positions=False, both_words=False))
