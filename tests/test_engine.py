@@ -572,3 +572,16 @@ def test_support_in_tiles(featured):
 def test_dense_hits_in_tiles(featured, width):
     spec, cand, _ = featured
     same(features.hits(spec, cand, LIKE, 16, width, positions=False, both_words=False), local.bucket_hits(spec, cand, LIKE, 16, width, positions=False, both_words=False))
+
+
+def test_pairs_that_can_count_decide_as_all_pairs_do(hashed):
+    spec, cand, every = hashed
+    bonus = F.when(F.col("id") % 2 == 0, F.lit(5.0)).cast("float")
+    weak = replace(WIDE, suspicious=replace(WIDE.suspicious, support_hits=2, support_regions=1, support_total=70), cluster_member=40, cluster_coherence=50)
+    support = every.select("id", "s_id", F.lit(3).alias("raw_hits"), (F.col("pd") % 4).alias("hits"), F.lit(2).alias("regions"), F.lit(5.0).alias("mean_distance"), F.lit(100).alias("spread"), F.lit(900).alias("permille")).filter("(id + s_id) % 7 = 0")
+    exact = cand.filter("id % 9 = 0").select(F.col("id").alias("candidate"), (F.col("id") + 1).alias("specimen"))
+    edges = graph.coherence_edges(spec, plans._COH, 50)
+    pairs = cascade.evidence_pairs(spec, cand.withColumn("bonus", bonus), weak, cascade.worth(support, weak.suspicious))
+    got = cascade.decide(exact, pairs, weak, edges, None, None, cascade.worth(support, weak.suspicious))
+    same(got, cascade.decide(exact, every.withColumn("bonus", bonus), weak, edges, None, None, support))
+    assert pairs.count() < every.count() and len({r["stage"] for r in got.collect()}) >= 3
