@@ -585,3 +585,20 @@ def test_pairs_that_can_count_decide_as_all_pairs_do(hashed):
     got = cascade.decide(exact, pairs, weak, edges, None, None, cascade.worth(support, weak.suspicious))
     same(got, cascade.decide(exact, every.withColumn("bonus", bonus), weak, edges, None, None, support))
     assert pairs.count() < every.count() and len({r["stage"] for r in got.collect()}) >= 3
+
+
+def test_cascade_has_dense_evidence(spark, tmp_path):
+    from nearfield.plans import features as queries
+
+    rng = np.random.default_rng(15)
+    v = rng.normal(size=(12, 64))
+    v[5] = v[6] + 0.05 * rng.normal(size=64)
+    spark.createDataFrame([(i, [float(x) for x in r], i % 3) for i, r in enumerate(v)], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    _, pairs, _, anchors, dense, support = queries._cascade(spark, str(tmp_path), True)
+    assert {(r["id"], r["s_id"]) for r in cascade.accepted(dense, queries.FULL.confirmed).collect()} == {(5, 6)}
+    got = {r["step"]: r["score"] for r in queries.cascade_full_explain(spark, str(tmp_path)).filter("id = 5 and level = 'confirmed'").collect()}
+    assert got[3] > got[2] > got[1]
+    weak = replace(queries.FULL, confirmed=replace(queries.FULL.confirmed, phash_max=0, dhash_max=0, total_max=0))
+    none = anchors.limit(0)
+    row = cascade.decide(spark.createDataFrame([], "candidate bigint, specimen bigint"), pairs, weak, spark.createDataFrame([], "a bigint, b bigint, weight int"), none, dense, support.limit(0)).filter("id = 5").first()
+    assert (row["decision"], row["stage"], row["s_id"]) == ("confirmed", "dense", 6)
