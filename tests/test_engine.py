@@ -602,3 +602,15 @@ def test_cascade_has_dense_evidence(spark, tmp_path):
     none = anchors.limit(0)
     row = cascade.decide(spark.createDataFrame([], "candidate bigint, specimen bigint"), pairs, weak, spark.createDataFrame([], "a bigint, b bigint, weight int"), none, dense, support.limit(0)).filter("id = 5").first()
     assert (row["decision"], row["stage"], row["s_id"]) == ("confirmed", "dense", 6)
+
+
+def test_looks_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "ROWS", (5, 30))
+    monkeypatch.setattr(tiles, "BATCH", 70)
+    rng = np.random.default_rng(16)
+    rows = [(i, int(v[3]), v[:3].tolist(), v[:16].tolist(), v.tolist()) for i, v in enumerate(rng.integers(0, 256, (80, 64)))]
+    d = spark.createDataFrame(rows, "id bigint, luma int, rgb array<int>, blocks array<int>, grid array<int>")
+    left, right = d.filter("id % 5 = 0"), d.filter("id % 5 > 0")
+    mean = lambda k: bits.mean_abs_delta(F.col(k), F.col(f"s_{k}"))
+    both = left.crossJoin(right.select(*[F.col(c).alias(f"s_{c}") for c in d.columns]))
+    same(tiles.looks(left, right), both.select("id", "s_id", F.abs(F.col("luma") - F.col("s_luma")).alias("luma_delta"), mean("rgb").alias("rgb_delta"), mean("blocks").alias("grid_delta"), mean("grid").alias("text_delta")))
