@@ -111,17 +111,12 @@ def _dense_verified(spark, sf):
     return features.verified(*_sides(spark, sf), T, DENSE_MOST, 8, positions=False, both_words=False, single=True)
 
 
-def _images(spark, sf):
-    g = fingerprints.fingerprints(load(spark, sf, "embeddings")).select("id", "grid")
-    return g.select("id", pixels.blocks(F.col("grid")).alias("px"), F.lit(64).alias("w"))
-
-
 def phash_dhash(spark, sf):
-    return _images(spark, sf).select("id", pixels.image_hashes(F.col("px"), F.col("w")).alias("h")).select("id", "h.*")
+    return pixels.image_hashes(plans.fps(spark, sf))
 
 
 def orb_features(spark, sf):
-    return _images(spark, sf).select("id", F.explode(pixels.image_features(F.col("px"), F.col("w"))).alias("f")).select("id", "f.*")
+    return pixels.image_features(plans.fps(spark, sf))
 
 
 def cluster_promotion(spark, sf):

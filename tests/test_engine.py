@@ -614,3 +614,11 @@ def test_looks_of_all_pairs(spark, monkeypatch):
     mean = lambda k: bits.mean_abs_delta(F.col(k), F.col(f"s_{k}"))
     both = left.crossJoin(right.select(*[F.col(c).alias(f"s_{c}") for c in d.columns]))
     same(tiles.looks(left, right), both.select("id", "s_id", F.abs(F.col("luma") - F.col("s_luma")).alias("luma_delta"), mean("rgb").alias("rgb_delta"), mean("blocks").alias("grid_delta"), mean("grid").alias("text_delta")))
+
+
+def test_image_hashes_without_batches_of_pixels(spark, monkeypatch):
+    monkeypatch.setattr(pixels, "IMAGES", 3)
+    grids = np.random.default_rng(17).integers(0, 256, (20, 64)).tolist()
+    got = pixels.image_hashes(spark.createDataFrame(list(enumerate(grids)), "id bigint, grid array<int>")).collect()
+    want = {i: (pixels.phash(img), pixels.dhash(img), *pixels.signature(img)) for i, g in enumerate(grids) for img in [pixels.enlarged(g)]}
+    assert {r["id"]: tuple(r)[1:] for r in got} == want and len(got) == 20
