@@ -622,3 +622,12 @@ def test_image_hashes_without_batches_of_pixels(spark, monkeypatch):
     got = pixels.image_hashes(spark.createDataFrame(list(enumerate(grids)), "id bigint, grid array<int>")).collect()
     want = {i: (pixels.phash(img), pixels.dhash(img), *pixels.signature(img)) for i, g in enumerate(grids) for img in [pixels.enlarged(g)]}
     assert {r["id"]: tuple(r)[1:] for r in got} == want and len(got) == 20
+
+
+def test_image_features_without_batches_of_pixels(spark, monkeypatch):
+    monkeypatch.setattr(pixels, "IMAGES", 3)
+    grids = np.random.default_rng(18).integers(0, 256, (10, 64)).tolist() + [[7] * 64] * 4
+    grids += [[255 * (k == j) for k in range(64)] for j in (18, 27, 45)]
+    got = pixels.image_features(spark.createDataFrame(list(enumerate(grids)), "id bigint, grid array<int>")).collect()
+    want = [(i, x, y, s, *pixels.describe(img, x, y)[1:]) for i, g in enumerate(grids) for img in [pixels.enlarged(g)] for x, y, s in pixels.corners(img)]
+    assert sorted(map(tuple, got)) == sorted(want) and want
