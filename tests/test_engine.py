@@ -16,6 +16,7 @@ from nearfield.operators import cascade, features, gate, geometry, graph, local,
 from nearfield.plans import matching as plans
 from nearfield.plans.policy import WIDE, Policy, Shape, TextGate
 from nearfield.sources import records
+from nearfield.streaming import streams
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -631,3 +632,14 @@ def test_image_features_without_batches_of_pixels(spark, monkeypatch):
     got = pixels.image_features(spark.createDataFrame(list(enumerate(grids)), "id bigint, grid array<int>")).collect()
     want = [(i, x, y, s, *pixels.describe(img, x, y)[1:]) for i, g in enumerate(grids) for img in [pixels.enlarged(g)] for x, y, s in pixels.corners(img)]
     assert sorted(map(tuple, got)) == sorted(want) and want
+
+
+def test_many_files_take_few_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "folder", lambda s: f"file://{tmp_path}/at")
+    rows = [(c, t, "x" * (5 if (c * 7 + t) % 9 == 0 else 6)) for c in range(30) for t in range(8)]
+    d = spark.createDataFrame(rows, "conv_id bigint, turn bigint, text string")
+    d.repartitionById(20, (F.col("turn") * 3 + F.col("conv_id")).cast("int")).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(map(tuple, streams.siblings(spark, f"{tmp_path}/conversations.parquet").collect()))
+    known = {c for c, _, x in rows if len(x) == 5}
+    assert got == sorted((c, t) for c, t, x in rows if c in known and len(x) == 6) and len(known) < 30
+    assert len([f for f in os.listdir(f"{tmp_path}/at/state/commits") if f.isdigit()]) <= 8
